@@ -493,3 +493,33 @@ SQL |= {
     + f"""SELECT make_timestamp(low) AS region_start, make_timestamp(low + {60 * US}) AS region_end
 FROM (SELECT (SELECT min(epoch_us(ts)) FROM events) + seq * {HOUR * US} AS low FROM d WHERE i > 0 GROUP BY seq HAVING max(change) = 1)""",
 }
+
+# --- streams -----------------------------------------------------------------------------
+
+# A stream puts out the windows that end no later than the last watermark.
+DELAY_US = 600 * US
+
+
+def _closed(geometry: tuple[int, int]) -> str:
+    return _windows(geometry, "cs", f"a + {geometry[0] * US} <= ce - {DELAY_US}")
+
+
+SQL |= {
+    "stream_window_stats": _with(EVENT_PACKETS, _closed(STATS), GAPS, SENDERS, RECEIVERS)
+    + """SELECT window_index, make_timestamp(ws) AS window_start, make_timestamp(we) AS window_end, "IP",
+ coalesce("Spc", 0) AS "Spc", "Tss", "Smin", "Smax", "Savg", "Svar", coalesce("Rpc", 0) AS "Rpc", "Tsr", "Ravg", "Rvar"
+FROM s FULL JOIN r USING (window_index, "IP") JOIN w USING (window_index)""",
+    "stream_edges": _with(EVENT_PACKETS, _closed(GRAPH), EDGES)
+    + """SELECT window_index, make_timestamp(ws) AS window_start, make_timestamp(we) AS window_end, "Source", "Destination", "count"
+FROM e JOIN w USING (window_index)""",
+    "stream_inter_arrival": _with(
+        EVENT_PACKETS,
+        _windows(STATS, "cs", f"a < ce - {DELAY_US} - {STATS[0] * US} - {US}"),
+        GAPS, SENDERS, RECEIVERS,
+    )
+    + f'SELECT window_index, "IP", {RAW} FROM s FULL JOIN r USING (window_index, "IP")',
+    "stream_detectors": _with(SERIES, _numbered("series"), _ddm(["series"]).replace("\nd AS", "\nd1 AS").replace("FROM d JOIN", "FROM d1 d JOIN"),
+                              HDDM_A, recursive=True)
+    + """SELECT series, seq, 'DDM' AS detector, change FROM d1 WHERE i > 0
+UNION ALL SELECT series, seq, 'HDDM_A', change FROM d WHERE i > 0""",
+}

@@ -552,3 +552,88 @@ def adaptive_run(spark, sf):
         select=lambda df: select_model(df, PACKET_FEATURES, time_limit=None, max_candidates=1),
     )
     return v.civil(ad.adapt(train, test, settings))
+
+
+# --- streams -----------------------------------------------------------------------------
+
+
+def _streamed(spark, sf, frame, name: str) -> DataFrame:
+    """Run a stream to the end of its input and read what it wrote."""
+    from flowlens.plans.adapt import scratch_table
+
+    folder = scratch_table(table_of(spark, sf), name)
+    run = (
+        frame.writeStream.format("parquet").outputMode("append")
+        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{folder}/out")
+
+
+def table_of(spark, sf) -> DataFrame:
+    return v.table(spark, sf, "events")
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    """The event packets as a stream of the files that hold the table."""
+    batch = table_of(spark, sf)
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return v.as_packets(stream)
+
+
+DELAY_SECONDS = 600
+
+
+@query("stream_window_stats")
+def stream_window_stats(spark, sf):
+    from flowlens.streaming.stats import stream_packet_stats
+
+    capture = v.event_capture(spark, sf, v.STATS)
+    frame = stream_packet_stats(
+        _event_stream(spark, sf), capture.start, capture.size, capture.offset, f"{DELAY_SECONDS} seconds"
+    )
+    found = _streamed(spark, sf, frame, "stream_window_stats")
+    return v.civil(v.rounded(found, "Svar", "Rvar"))
+
+
+@query("stream_edges")
+def stream_edges(spark, sf):
+    from flowlens.streaming import stats as st
+
+    capture = v.event_capture(spark, sf, v.GRAPH)
+    frame = st.stream_edges(
+        _event_stream(spark, sf), capture.start, capture.size, capture.offset, f"{DELAY_SECONDS} seconds"
+    )
+    return v.civil(_streamed(spark, sf, frame, "stream_edges"))
+
+
+@query("stream_inter_arrival")
+def stream_inter_arrival(spark, sf):
+    """Slot summaries from a stream, merged into windows that closed before the watermark."""
+    from flowlens.streaming.stats import stream_slot_stats
+
+    capture = v.event_capture(spark, sf, v.STATS)
+    closed = capture.end - DELAY_SECONDS * SECOND - capture.size - SECOND
+    grid = capture.windows_in_period(capture.start, closed)
+    frame = stream_slot_stats(_event_stream(spark, sf), grid, f"{DELAY_SECONDS} seconds", slot=60 * SECOND)
+    slots = _streamed(spark, sf, frame, "stream_slots")
+    inside = slots.filter(F.col("last") < grid.end - grid.anchor)
+    found = stats.window_stats(stats.pane_stats(inside, grid.pane), grid)
+    return v.rounded(found, *SPREADS[0], *SPREADS[1])
+
+
+@query("stream_detectors")
+def stream_detectors(spark, sf):
+    """The hourly series written down as a table and read as a stream."""
+    from flowlens.plans.adapt import scratch_table
+    from flowlens.streaming.detect import stream_detect
+
+    series = v.hourly_series(spark, sf)
+    folder = scratch_table(series, "series")
+    series.write.parquet(folder)
+    frame = stream_detect(
+        spark.readStream.schema(series.schema).parquet(folder), ["series"],
+        panel={"DDM": Ddm, "HDDM_A": HddmA},
+    )
+    return _streamed(spark, sf, frame, "stream_detectors")

@@ -29,11 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_packets(events: DataFrame) -> DataFrame:
     """Events as packets among 24 addresses, without equal times."""
     user, event = F.col("user_id"), F.col("event_id")
     return packets_from_table(
-        table(spark, sf_dir, "events"),
+        events,
         {
             "Source": F.concat(F.lit("10.0.0."), (user % 24).cast("string")),
             "Destination": F.concat(F.lit("10.0.0."), ((event * 7 + user) % 24).cast("string")),
@@ -45,6 +45,10 @@ def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_packets(table(spark, sf_dir, "events"))
+
+
 def shipment_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as packets from the customer's to the supplier's nation, with many equal times."""
     joined = (
