@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.functions.timerange import micros_sql
 from flowlens.operators.windows import SECOND
 from flowlens.plans.features import Capture
 from flowlens.sources.packets import packets_from_table
@@ -31,16 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def as_packets(events: DataFrame) -> DataFrame:
     """Events as packets among 24 addresses, without equal times."""
-    user, event = F.col("user_id"), F.col("event_id")
     return packets_from_table(
         events,
         {
-            "Source": F.concat(F.lit("10.0.0."), (user % 24).cast("string")),
-            "Destination": F.concat(F.lit("10.0.0."), ((event * 7 + user) % 24).cast("string")),
+            "Source": F.expr("concat('10.0.0.', user_id % 24)"),
+            "Destination": F.expr("concat('10.0.0.', (event_id * 7 + user_id) % 24)"),
             "Protocol": F.col("event_type"),
             "parsed_time": F.col("ts"),
-            "time_epoch": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6,
-            "frame_len": F.floor(F.col("value") * 100).cast("int"),
+            "time_epoch": F.expr("unix_micros(CAST(ts AS timestamp)) / 1e6D"),
+            "frame_len": F.expr("CAST(floor(value * 100) AS int)"),
         },
     )
 
@@ -53,15 +53,15 @@ def shipment_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as packets from the customer's to the supplier's nation, with many equal times."""
     joined = (
         table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_shipdate")
-        .join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey"), "l_orderkey")
+        .join(table(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", "c_nationkey"), "o_custkey")
+        .join(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS l_suppkey", "s_nationkey"), "l_suppkey")
     )
     return packets_from_table(
         joined,
         {
-            "Source": F.concat(F.lit("N"), F.col("c_nationkey").cast("string")),
-            "Destination": F.concat(F.lit("N"), F.col("s_nationkey").cast("string")),
+            "Source": F.expr("concat('N', c_nationkey)"),
+            "Destination": F.expr("concat('N', s_nationkey)"),
             "parsed_time": F.col("l_shipdate"),
             "frame_len": F.col("l_quantity").cast("int"),
         },
@@ -82,25 +82,24 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event type and hour the share of values above a level that moves every five days."""
-    bounds = event_capture(spark, sf_dir, STATS)
-    hour = F.call_function(
-        "div", F.unix_micros(F.col("ts").cast("timestamp")) - bounds.start, F.lit(HOUR * SECOND)
-    )
-    level = 10 + 20 * (F.call_function("div", F.col("seq"), F.lit(120)) % 3)
-    above = (F.col("value") > level).cast("long")
+    start = event_capture(spark, sf_dir, STATS).start
     return (
-        table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), hour.alias("seq"), "value")
-        .groupBy("series", "seq").agg((F.sum(above) / F.count("*")).alias("value"))
+        table(spark, sf_dir, "events")
+        .selectExpr(
+            "event_type AS series", f"({micros_sql('ts')} - {start}) div {HOUR * SECOND} AS seq", "value"
+        )
+        .selectExpr("series", "seq", "CAST(value > 10 + 20 * (seq div 120 % 3) AS long) AS above")
+        .groupBy("series", "seq").agg(F.expr("sum(above) / count(*) AS value"))
     )
 
 
 def civil(df: DataFrame) -> DataFrame:
     """Timestamps without zone, as the test tables have them."""
-    return df.select(*[
-        F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
-        for f in df.schema.fields
+    zoned = {f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
+    return df.selectExpr(*[
+        f"CAST({c} AS timestamp_ntz) AS {c}" if c in zoned else f"`{c}`" for c in df.columns
     ])
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.selectExpr(*[f"round({c}, 6) AS {c}" if c in columns else f"`{c}`" for c in df.columns])

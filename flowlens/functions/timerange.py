@@ -28,9 +28,13 @@ def from_micros(micros: int) -> datetime:
     return EPOCH + timedelta(microseconds=micros)
 
 
-def micros_of(column: Column | str) -> Column:
-    """Microseconds since the epoch of a timestamp column, with or without zone (session zone UTC)."""
-    return F.unix_micros(F.col(column).cast("timestamp") if isinstance(column, str) else column.cast("timestamp"))
+def micros_sql(column: str) -> str:
+    """Microseconds since the epoch of a timestamp column, as SQL text (session zone UTC)."""
+    return f"unix_micros(CAST({column} AS timestamp))"
+
+
+def micros_of(column: str) -> Column:
+    return F.expr(micros_sql(column))
 
 
 def instant(micros: Column) -> Column:

@@ -34,19 +34,13 @@ TOLERANCE = 1e-6
 
 def nodes(edges: DataFrame) -> DataFrame:
     """All senders and receivers of every window, once each."""
-    ends = F.explode(F.array("Source", "Destination")).alias("IP")
-    return edges.select(WINDOW, ends).distinct()
+    return edges.selectExpr(WINDOW, "explode(array(Source, Destination)) AS IP").distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
     """Distinct senders to and distinct receivers from every node; a self-loop counts in both."""
-    ends = F.inline(
-        F.array(
-            F.struct(F.col("Source").alias("IP"), F.lit(0).alias("i"), F.lit(1).alias("o")),
-            F.struct(F.col("Destination").alias("IP"), F.lit(1).alias("i"), F.lit(0).alias("o")),
-        )
-    )
-    return edges.select(WINDOW, ends).groupBy(WINDOW, "IP").agg(
+    ends = "inline(array(struct(Source AS IP, 0 AS i, 1 AS o), struct(Destination AS IP, 1 AS i, 0 AS o)))"
+    return edges.selectExpr(WINDOW, ends).groupBy(WINDOW, "IP").agg(
         F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree")
     )
 

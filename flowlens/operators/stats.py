@@ -17,10 +17,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowlens.functions.timerange import in_time_range, micros_of
+from flowlens.functions.timerange import in_time_range, micros_sql
 from flowlens.operators.windows import WindowGrid, assign_windows
 
 ROLES = ("Source", "Destination")
@@ -38,62 +37,64 @@ def slot_width(grid: WindowGrid, slot: int = DEFAULT_SLOT) -> int:
     return min(max(slot, -(-span // MAX_SLOTS)), grid.pane, WIDEST_SLOT)
 
 
-def _exact(column: Column) -> Column:
-    return column.cast("decimal(20,0)")
+BIG = "decimal(38,0)"
 
 
-def _add(column: Column) -> Column:
-    """Exact sum of integers that may outgrow a long."""
-    return F.sum(column.cast("decimal(38,0)")).cast("decimal(38,0)")
+def _add(value: str) -> str:
+    """Exact sum of integers that may outgrow a long, as SQL text."""
+    return f"CAST(sum(CAST({value} AS {BIG})) AS {BIG})"
+
+
+def _square(value: str) -> str:
+    return f"CAST({value} AS decimal(19,0)) * CAST({value} AS decimal(19,0))"
+
+
+def _aggregates(**named: str) -> list[Column]:
+    return [F.expr(text).alias(name) for name, text in named.items()]
 
 
 def positions(packets: DataFrame, grid: WindowGrid) -> DataFrame:
     """Packets that fall into a window, with ``rel``: microseconds after the anchor."""
     inside = in_time_range(packets, grid.anchor, grid.end, include_upper=False)
-    rel = micros_of("parsed_time") - grid.anchor
-    placed = inside.select(rel.alias("rel"), "Source", "Destination", "frame_len")
+    placed = inside.selectExpr(
+        f"{micros_sql('parsed_time')} - {grid.anchor} AS rel", "Source", "Destination", "frame_len"
+    )
     if grid.offset > grid.size:
-        placed = placed.filter(F.pmod("rel", F.lit(grid.offset)) < grid.size)
+        placed = placed.filter(f"pmod(rel, {grid.offset}) < {grid.size}")
     return placed
 
 
 def slot_stats(placed: DataFrame, pane: int, slot: int, roles: Sequence[str] = ROLES) -> DataFrame:
     """One row per (role, address, pane, slot): packet sums, first and last time, gaps inside."""
-    sides = F.array(*[F.struct(F.lit(role).alias("role"), F.col(role).alias("IP")) for role in roles])
-    rel = F.col("rel")
-    size = F.col("frame_len").cast("long")
-    tied = F.col("n") > 1
-    gap = rel - F.lag("rel").over(W.partitionBy("role", "IP", "pane", "slot").orderBy("rel"))
+    sides = ", ".join(f"struct('{role}' AS role, {role} AS IP)" for role in roles)
     return (
-        placed.select("rel", "frame_len", F.inline(sides))
-        .select(
-            "role", "IP", "rel", "frame_len",
-            F.call_function("div", rel, F.lit(pane)).alias("pane"),
-            F.call_function("div", rel % pane, F.lit(slot)).alias("slot"),
+        placed.selectExpr("rel", "frame_len", f"inline(array({sides}))")
+        .selectExpr(
+            "role", "IP", "rel", "frame_len", f"rel div {pane} AS pane", f"rel % {pane} div {slot} AS slot"
         )
         # packets of one address at one instant: only a zero gap between each two
         .groupBy("role", "IP", "pane", "slot", "rel")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(size).alias("len_sum"),
-            F.sum(size * size).alias("len_sq"),
-            F.min("frame_len").alias("len_min"),
-            F.max("frame_len").alias("len_max"),
-        )
-        .withColumn("gap", gap)
+        .agg(*_aggregates(
+            n="count(*)",
+            len_sum="sum(CAST(frame_len AS long))",
+            len_sq="sum(CAST(frame_len AS long) * frame_len)",
+            len_min="min(frame_len)",
+            len_max="max(frame_len)",
+        ))
+        .selectExpr("*", "rel - lag(rel) OVER (PARTITION BY role, IP, pane, slot ORDER BY rel) AS gap")
         .groupBy("role", "IP", "pane", "slot")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("len_sum").alias("len_sum"),
-            F.sum("len_sq").alias("len_sq"),
-            F.min("len_min").alias("len_min"),
-            F.max("len_max").alias("len_max"),
-            F.min("rel").alias("first"),
-            F.max("rel").alias("last"),
-            F.min(F.when(tied, F.lit(0).cast("long")).otherwise(F.col("gap"))).alias("gap_min"),
-            F.max(F.coalesce("gap", F.when(tied, F.lit(0).cast("long")))).alias("gap_max"),
-            F.sum(F.coalesce(F.col("gap") * F.col("gap"), F.lit(0).cast("long"))).alias("gap_sq"),
-        )
+        .agg(*_aggregates(
+            n="sum(n)",
+            len_sum="sum(len_sum)",
+            len_sq="sum(len_sq)",
+            len_min="min(len_min)",
+            len_max="max(len_max)",
+            first="min(rel)",
+            last="max(rel)",
+            gap_min="min(CASE WHEN n > 1 THEN 0L ELSE gap END)",
+            gap_max="max(coalesce(gap, CASE WHEN n > 1 THEN 0L END))",
+            gap_sq="sum(coalesce(gap * gap, 0L))",
+        ))
     )
 
 
@@ -102,35 +103,31 @@ def pane_stats(slots: DataFrame, pane: int) -> DataFrame:
 
     All slots of an address are ordered here, but a slot is one row whatever it counted.
     """
-    by_ip = W.partitionBy("role", "IP").orderBy("pane", "slot")
-    gap = F.col("first") - F.col("before")
-    inside = F.col("before") >= F.col("pane") * pane
+    inside = f"before >= pane * {pane}"
+    gap = f"CASE WHEN {inside} THEN first - before END"
     return (
-        slots.withColumn("before", F.lag("last").over(by_ip))
+        slots.selectExpr("*", "lag(last) OVER (PARTITION BY role, IP ORDER BY pane, slot) AS before")
         .groupBy("role", "IP", "pane")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("len_sum").alias("len_sum"),
-            _add(F.col("len_sq")).alias("len_sq"),
-            F.min("len_min").alias("len_min"),
-            F.max("len_max").alias("len_max"),
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.min(F.least("gap_min", F.when(inside, gap))).alias("gap_min"),
-            F.max(F.greatest("gap_max", F.when(inside, gap))).alias("gap_max"),
-            _add(
-                F.col("gap_sq").cast("decimal(38,0)")
-                + F.when(inside, _exact(gap) * _exact(gap)).otherwise(F.lit(0).cast("decimal(38,0)"))
-            ).alias("gap_sq"),
-            F.min(F.when(~inside, F.col("before"))).alias("prev"),
-        )
+        .agg(*_aggregates(
+            n="sum(n)",
+            len_sum="sum(len_sum)",
+            len_sq=_add("len_sq"),
+            len_min="min(len_min)",
+            len_max="max(len_max)",
+            first="min(first)",
+            last="max(last)",
+            gap_min=f"min(least(gap_min, {gap}))",
+            gap_max=f"max(greatest(gap_max, {gap}))",
+            gap_sq=_add(f"(gap_sq + coalesce({_square(f'({gap})')}, 0))"),
+            prev=f"min(CASE WHEN NOT {inside} THEN before END)",
+        ))
     )
 
 
-def _spread(n: Column, total: Column, squares: Column) -> Column:
-    """Sample standard deviation from exact sums; null for a single value."""
-    moment = (_exact(n) * squares - _exact(total) * _exact(total)).cast("double")
-    return F.when(n > 1, F.sqrt(F.greatest(moment, F.lit(0.0)) / (n.cast("double") * (n - 1))))
+def _spread(n: str, total: str, squares: str) -> str:
+    """Sample standard deviation from exact sums, as SQL text; null for a single value."""
+    moment = f"CAST(CAST({n} AS decimal(19,0)) * {squares} - {_square(total)} AS double)"
+    return f"CASE WHEN {n} > 1 THEN sqrt(greatest({moment}, 0D) / (CAST({n} AS double) * ({n} - 1))) END"
 
 
 def window_stats(panes: DataFrame, grid: WindowGrid, roles: Sequence[str] = ROLES) -> DataFrame:
@@ -138,61 +135,54 @@ def window_stats(panes: DataFrame, grid: WindowGrid, roles: Sequence[str] = ROLE
 
     Both roles come out of one grouping, which does the work of an outer join of two tables.
     """
-    start = F.col("window_index") * grid.offset
-    joined = F.col("prev") >= start
-    gap = F.when(joined, F.col("first") - F.col("prev"))
+    gap = f"CASE WHEN prev >= window_index * {grid.offset} THEN first - prev END"
     spread_panes = panes.select(
-        "*", F.explode(grid.windows_at(F.col("pane") * grid.pane)).alias("window_index")
-    ).select(
+        "*", F.explode(grid.windows_at(f"pane * {grid.pane}")).alias("window_index")
+    ).selectExpr(
         "window_index", "role", "IP", "n", "len_sum", "len_sq", "len_min", "len_max", "first", "last",
-        F.least("gap_min", gap).alias("gap_min"),
-        F.greatest("gap_max", gap).alias("gap_max"),
-        (
-            F.col("gap_sq") + F.coalesce(_exact(gap) * _exact(gap), F.lit(0).cast("decimal(38,0)"))
-        ).cast("decimal(38,0)").alias("gap_sq"),
+        f"least(gap_min, {gap}) AS gap_min",
+        f"greatest(gap_max, {gap}) AS gap_max",
+        f"CAST(gap_sq + coalesce({_square(f'({gap})')}, 0) AS {BIG}) AS gap_sq",
     )
-    sums, metrics = [], []
+    sums, metrics = {}, []
     for role in roles:
-        mine = F.col("role") == role
         tag = PREFIX[role]
 
-        def of(name: str, mine: Column = mine) -> Column:
-            return F.when(mine, F.col(name))
-
-        sums += [
-            F.sum(of("n")).alias(f"{tag}_n"),
-            F.sum(of("len_sum")).alias(f"{tag}_len"),
-            _add(of("len_sq")).alias(f"{tag}_sq"),
-            F.min(of("len_min")).alias(f"{tag}_min"),
-            F.max(of("len_max")).alias(f"{tag}_max"),
-            F.min(of("first")).alias(f"{tag}_first"),
-            F.max(of("last")).alias(f"{tag}_last"),
-            F.min(of("gap_min")).alias(f"{tag}_gmin"),
-            F.max(of("gap_max")).alias(f"{tag}_gmax"),
-            _add(of("gap_sq")).alias(f"{tag}_gsq"),
-        ]
+        def of(name: str, role: str = role) -> str:
+            return name if len(roles) == 1 else f"CASE WHEN role = '{role}' THEN {name} END"
+
+        sums |= {
+            f"{tag}_n": f"sum({of('n')})",
+            f"{tag}_len": f"sum({of('len_sum')})",
+            f"{tag}_sq": _add(of("len_sq")),
+            f"{tag}_min": f"min({of('len_min')})",
+            f"{tag}_max": f"max({of('len_max')})",
+            f"{tag}_first": f"min({of('first')})",
+            f"{tag}_last": f"max({of('last')})",
+            f"{tag}_gmin": f"min({of('gap_min')})",
+            f"{tag}_gmax": f"max({of('gap_max')})",
+            f"{tag}_gsq": _add(of("gap_sq")),
+        }
         metrics += _role_metrics(role)
-    return spread_panes.groupBy("window_index", "IP").agg(*sums).select("window_index", "IP", *metrics)
+    merged = spread_panes.groupBy("window_index", "IP").agg(*_aggregates(**sums))
+    return merged.selectExpr("window_index", "IP", *metrics)
 
 
-def _role_metrics(role: str) -> list[Column]:
+def _role_metrics(role: str) -> list[str]:
     tag = PREFIX[role]
-    n, total = F.col(f"{tag}_n"), F.col(f"{tag}_len")
-    gaps, waited = n - 1, F.col(f"{tag}_last") - F.col(f"{tag}_first")
+    n, total, gaps = f"{tag}_n", f"{tag}_len", f"({tag}_n - 1)"
+    waited = f"({tag}_last - {tag}_first)"
     gap = [
-        (F.col(f"{tag}_gmin") / 1e6).alias(f"{tag}ITmin"),
-        (F.col(f"{tag}_gmax") / 1e6).alias(f"{tag}ITmax"),
-        F.when(gaps > 0, waited / gaps / 1e6).alias(f"{tag}ITavg"),
-        (_spread(gaps, waited, F.col(f"{tag}_gsq")) / 1e6).alias(f"{tag}ITvar"),
-    ]
-    size = [
-        (total / n).alias(f"{tag}avg"),
-        _spread(n, total, F.col(f"{tag}_sq")).alias(f"{tag}var"),
+        f"{tag}_gmin / 1e6D AS {tag}ITmin",
+        f"{tag}_gmax / 1e6D AS {tag}ITmax",
+        f"CASE WHEN {gaps} > 0 THEN {waited} / {gaps} / 1e6D END AS {tag}ITavg",
+        f"{_spread(gaps, waited, f'{tag}_gsq')} / 1e6D AS {tag}ITvar",
     ]
+    size = [f"{total} / {n} AS {tag}avg", f"{_spread(n, total, f'{tag}_sq')} AS {tag}var"]
     if role == "Source":
-        extremes = [F.col(f"{tag}_min").alias("Smin"), F.col(f"{tag}_max").alias("Smax")]
-        return [n.alias("Spc"), total.alias("Tss"), *extremes, *size, *gap]
-    return [n.alias("Rpc"), total.alias("Tsr"), *size, *gap]
+        extremes = [f"{tag}_min AS Smin", f"{tag}_max AS Smax"]
+        return [f"{n} AS Spc", f"{total} AS Tss", *extremes, *size, *gap]
+    return [f"{n} AS Rpc", f"{total} AS Tsr", *size, *gap]
 
 
 def packet_stats(
@@ -213,20 +203,19 @@ def destination_metrics(packets: DataFrame, grid: WindowGrid) -> DataFrame:
 
 def edges(packets: DataFrame, grid: WindowGrid) -> DataFrame:
     """Packets per (window, sender, receiver), counted per pane first."""
-    pane = F.call_function("div", F.col("rel"), F.lit(grid.pane)).alias("pane")
     counted = (
         positions(packets, grid)
-        .select(pane, "Source", "Destination")
+        .selectExpr(f"rel div {grid.pane} AS pane", "Source", "Destination")
         .groupBy("pane", "Source", "Destination")
-        .agg(F.count("*").alias("count"))
+        .agg(F.expr("count(*) AS `count`"))
         .select(
-            F.explode(grid.windows_at(F.col("pane") * grid.pane)).alias("window_index"),
+            F.explode(grid.windows_at(f"pane * {grid.pane}")).alias("window_index"),
             "Source", "Destination", "count",
         )
     )
     if grid.size == grid.pane:  # one pane per window: nothing left to merge
         return counted
-    return counted.groupBy("window_index", "Source", "Destination").agg(F.sum("count").alias("count"))
+    return counted.groupBy("window_index", "Source", "Destination").agg(F.expr("sum(`count`) AS `count`"))
 
 
 def time_diff(packets: DataFrame, role: str, slot: int = DEFAULT_SLOT) -> DataFrame:
@@ -235,18 +224,16 @@ def time_diff(packets: DataFrame, role: str, slot: int = DEFAULT_SLOT) -> DataFr
     The lag runs per (address, slot); the first packet of a slot takes the last time of the
     slot before, which comes from a table of one row per slot.
     """
-    at = micros_of("parsed_time")
-    placed = packets.withColumns({"at_us": at, "slot": F.call_function("div", at, F.lit(slot))})
-    lasts = placed.groupBy(role, "slot").agg(F.max("at_us").alias("last_us"))
-    carried = lasts.select(
-        role, "slot", F.lag("last_us").over(W.partitionBy(role).orderBy("slot")).alias("carried_us")
+    placed = packets.selectExpr("*", f"{micros_sql('parsed_time')} AS at_us").selectExpr(
+        "*", f"at_us div {slot} AS slot"
+    )
+    carried = placed.groupBy(role, "slot").agg(F.expr("max(at_us) AS last_us")).selectExpr(
+        role, "slot", f"lag(last_us) OVER (PARTITION BY {role} ORDER BY slot) AS carried_us"
     )
-    inside = F.lag("at_us").over(W.partitionBy(role, "slot").orderBy("at_us"))
     return (
-        placed.withColumn("inside_us", inside)
+        placed.selectExpr("*", f"lag(at_us) OVER (PARTITION BY {role}, slot ORDER BY at_us) AS inside_us")
         .join(carried, [role, "slot"])
-        .withColumn("previous_us", F.coalesce("inside_us", "carried_us"))
-        .select(*packets.columns, "at_us", "previous_us")
+        .selectExpr(*packets.columns, "at_us", "coalesce(inside_us, carried_us) AS previous_us")
     )
 
 
@@ -254,7 +241,8 @@ def window_time_diff(packets: DataFrame, grid: WindowGrid, role: str) -> DataFra
     """Per window and packet, seconds since the same address's previous packet in that window."""
     inside = in_time_range(packets, grid.anchor, grid.end, include_upper=False)
     seen = assign_windows(time_diff(inside, role), grid)
-    known = F.col("previous_us") >= grid.start_of(F.col("window_index"))
-    return seen.withColumn(
-        f"{role}_time_diff", F.when(known, (F.col("at_us") - F.col("previous_us")) / 1e6)
-    ).drop("at_us", "previous_us")
+    start = f"window_index * {grid.offset} + {grid.anchor}"
+    return seen.selectExpr(
+        *packets.columns, "window_index",
+        f"CASE WHEN previous_us >= {start} THEN (at_us - previous_us) / 1e6D END AS {role}_time_diff",
+    )

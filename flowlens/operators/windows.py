@@ -13,7 +13,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.functions.timerange import instant, micros_of, to_micros
+from flowlens.functions.timerange import instant, micros_sql, to_micros
 
 SECOND = 1_000_000
 
@@ -45,19 +45,19 @@ class WindowGrid:
     def start_of(self, index: Column) -> Column:
         return index * self.offset + self.anchor
 
-    def windows_at(self, position: Column) -> Column:
-        """Indexes of the windows that hold a position, given in microseconds after the anchor.
+    def windows_at(self, position: str) -> Column:
+        """Indexes of the windows that hold a position: an SQL text in microseconds after the anchor.
 
         Null when there is none, because a descending sequence would count backwards.
         """
-        low = F.greatest(F.lit(0).cast("long"), _floor(position - self.size, self.offset) + 1)
-        high = F.least(F.lit(self.count - 1).cast("long"), _floor(position, self.offset))
-        return F.when(high >= low, F.sequence(low, high))
+        low = f"greatest(0L, {floor_div(f'({position} - {self.size})', self.offset)} + 1)"
+        high = f"least({self.count - 1}L, {floor_div(f'({position})', self.offset)})"
+        return F.expr(f"CASE WHEN {high} >= {low} THEN sequence({low}, {high}) END")
 
 
-def _floor(value: Column, step: int) -> Column:
-    """Integer floor division; SQL ``div`` truncates, so the remainder is taken out first."""
-    return F.call_function("div", value - F.pmod(value, F.lit(step)), F.lit(step))
+def floor_div(value: str, step: int) -> str:
+    """Integer floor division as SQL text; ``div`` truncates, so the remainder is taken out first."""
+    return f"(({value} - pmod({value}, {step}L)) div {step}L)"
 
 
 # --- capture bounds and the cursor -------------------------------------------------------
@@ -70,7 +70,7 @@ def capture_bounds(packets: DataFrame, on: str = "parsed_time") -> DataFrame:
 
 def read_bounds(packets: DataFrame, on: str = "parsed_time") -> tuple[int, int] | None:
     """The capture bounds in microseconds; ``None`` for a capture without packets."""
-    row = packets.agg(F.min(micros_of(on)), F.max(micros_of(on))).first()
+    row = packets.selectExpr(f"min({micros_sql(on)})", f"max({micros_sql(on)})").first()
     return None if row[0] is None else (row[0], row[1])
 
 
@@ -143,7 +143,7 @@ def window_times(df: DataFrame, grid: WindowGrid) -> DataFrame:
 
 def assign_windows(df: DataFrame, grid: WindowGrid, on: str = "parsed_time") -> DataFrame:
     """Each row once for every window that holds it, with ``window_index``."""
-    position = micros_of(on) - grid.anchor
+    position = f"{micros_sql(on)} - {grid.anchor}"
     return df.select("*", F.explode(grid.windows_at(position)).alias("window_index"))
 
 
@@ -174,7 +174,7 @@ def batch_table(spark: SparkSession, grid: WindowGrid) -> DataFrame:
 
 def assign_batches(rows: DataFrame, grid: WindowGrid, on: str) -> DataFrame:
     """Each feature row once for every batch that holds it, with ``batch_id``."""
-    position = micros_of(on) - grid.anchor
+    position = f"{micros_sql(on)} - {grid.anchor}"
     return rows.select("*", F.explode(grid.windows_at(position)).alias("batch_id"))
 
 

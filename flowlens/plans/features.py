@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowlens.functions.labels import label_bots
 from flowlens.functions.timerange import to_micros
@@ -23,9 +22,9 @@ from flowlens.sources.packets import complete_packets, read_packets_csv
 def fill_missing(stats: DataFrame) -> DataFrame:
     """Zero for every metric of a side that did not occur, and for spreads of a single packet."""
     kinds = {field.name: field.dataType for field in feature_schema().fields}
-    return stats.select(
+    return stats.selectExpr(
         "window_index", "IP",
-        *[F.coalesce(name, F.lit(0)).cast(kinds[name]).alias(name)
+        *[f"CAST(coalesce({name}, 0) AS {kinds[name].simpleString()}) AS {name}"
           for name in SOURCE_METRICS + DESTINATION_METRICS],
     )
 
