@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.special import log_factorial
+from flowlens.functions.special import log_factorial_sql
 
 CELLS = ["c00", "c01", "c10", "c11"]
 # The metric names of a prediction log.
@@ -26,67 +26,62 @@ def contingency(
 ) -> DataFrame:
     """Counts of (concept, cluster) pairs per group, as four columns."""
     cells = [
-        F.count_if((F.col(concept) == int(cell[1])) & (F.col(cluster) == int(cell[2]))).alias(cell)
-        for cell in CELLS
+        F.expr(f"count_if({concept} = {cell[1]} AND {cluster} = {cell[2]})").alias(cell) for cell in CELLS
     ]
     return rows.groupBy(*by).agg(*cells)
 
 
-def _entropy(parts: Sequence[Column], n: Column) -> Column:
-    total = F.lit(0.0)
-    for part in parts:
-        share = part / n
-        total = total - F.when(part > 0, share * F.log(share)).otherwise(0.0)
-    return total
+def _entropy(*parts: str) -> str:
+    return " ".join(f"- CASE WHEN {p} > 0 THEN {p} / _n * ln({p} / _n) ELSE 0D END" for p in parts)
 
 
-def _pairs(n: Column) -> Column:
-    return n * (n - 1) / 2
+def _pairs(*counts: str) -> str:
+    return "(" + " + ".join(f"{c} * ({c} - 1D) / 2" for c in counts) + ")"
+
+
+# Columns added on the way start with an underscore, so that they cannot meet a group key.
+_SIDES = {"_a0": "c00 + c01", "_a1": "c10 + c11", "_b0": "c00 + c10", "_b1": "c01 + c11"}
+_CROSS = [("_a0", "_b0", "c00"), ("_a0", "_b1", "c01"), ("_a1", "_b0", "c10"), ("_a1", "_b1", "c11")]
 
 
 def agreement(table: DataFrame, by: Sequence[str]) -> DataFrame:
     """The six agreement metrics of every group of :func:`contingency`."""
-    cell = {name: F.col(name).cast("double") for name in CELLS}
-    a0, a1 = cell["c00"] + cell["c01"], cell["c10"] + cell["c11"]
-    b0, b1 = cell["c00"] + cell["c10"], cell["c01"] + cell["c11"]
-    n = a0 + a1
-    marginals = [(a0, b0, "c00"), (a0, b1, "c01"), (a1, b0, "c10"), (a1, b1, "c11")]
-    mutual = F.lit(0.0)
-    for a, b, name in marginals:
-        mutual = mutual + F.when(
-            cell[name] > 0, cell[name] / n * (F.log(n) + F.log(cell[name]) - F.log(a) - F.log(b))
-        ).otherwise(0.0)
-    base = table.select(
-        *by, *CELLS,
-        n.alias("n"), a0.alias("a0"), a1.alias("a1"), b0.alias("b0"), b1.alias("b1"),
-        _entropy([a0, a1], n).alias("h_concept"),
-        _entropy([b0, b1], n).alias("h_cluster"),
-        F.greatest(mutual, F.lit(0.0)).alias("mi"),
+    by = list(by)
+    mutual = " + ".join(
+        f"CASE WHEN {c} > 0 THEN {c} / _n * (ln(_n) + ln({c}) - ln({a}) - ln({b})) ELSE 0D END"
+        for a, b, c in _CROSS
     )
-    h_concept, h_cluster, mi, emi = (F.col(c) for c in ("h_concept", "h_cluster", "mi", "emi"))
-    with_expected = base.join(expected_mutual_info(base, by), list(by), "left").withColumn(
-        "emi", F.coalesce("emi", F.lit(0.0))
+    sides = [f"CAST({text} AS double) AS {name}" for name, text in _SIDES.items()]
+    base = (
+        table.selectExpr(*by, *CELLS, *sides, "CAST(c00 + c01 + c10 + c11 AS double) AS _n")
+        .selectExpr(
+            "*", f"{_entropy('_a0', '_a1')} AS _hc", f"{_entropy('_b0', '_b1')} AS _hk",
+            f"greatest({mutual}, 0D) AS _mi",
+        )
     )
-    homogeneity = F.when(h_concept == 0, 1.0).otherwise(F.try_divide(mi, h_concept))
-    completeness = F.when(h_cluster == 0, 1.0).otherwise(F.try_divide(mi, h_cluster))
-    both = homogeneity + completeness
-    together = sum((_pairs(F.col(c)) for c in CELLS), F.lit(0.0))
-    rows_pairs, cols_pairs = _pairs(F.col("a0")) + _pairs(F.col("a1")), _pairs(F.col("b0")) + _pairs(F.col("b1"))
-    chance = F.try_divide(rows_pairs * cols_pairs, _pairs(F.col("n")))
-    one_class = ((h_concept == 0) & (h_cluster == 0)) | (F.col("n") <= 1)
-    room = (h_concept + h_cluster) / 2 - emi
-    return with_expected.select(
-        *by,
-        ((F.col("c00") + F.col("c11")) / F.col("n")).alias(METRICS[0]),
-        homogeneity.alias(METRICS[1]),
-        completeness.alias(METRICS[2]),
-        F.when(both == 0, 0.0).otherwise(2 * homogeneity * completeness / both).alias(METRICS[3]),
-        F.when(one_class, 1.0).otherwise(
-            F.coalesce(F.try_divide(together - chance, (rows_pairs + cols_pairs) / 2 - chance), F.lit(1.0))
-        ).alias(METRICS[4]),
-        F.when(one_class, 1.0).otherwise(
-            F.coalesce(F.try_divide(mi - emi, room), F.lit(0.0))
-        ).alias(METRICS[5]),
+    rows, columns = _pairs("_a0", "_a1"), _pairs("_b0", "_b1")
+    single = "((_hc = 0 AND _hk = 0) OR _n <= 1)"
+    return (
+        base.join(expected_mutual_info(base, by), by, "left")
+        .selectExpr(
+            *by, "(c00 + c11) / _n AS _acc", "_hc", "_hk", "_mi", "coalesce(_emi, 0D) AS _emi", "_n",
+            "CASE WHEN _hc = 0 THEN 1D ELSE try_divide(_mi, _hc) END AS _hom",
+            "CASE WHEN _hk = 0 THEN 1D ELSE try_divide(_mi, _hk) END AS _com",
+            f"{_pairs(*CELLS)} AS _together", f"({rows} + {columns}) / 2 AS _most",
+            f"try_divide({rows} * {columns}, {_pairs('_n')}) AS _chance",
+        )
+        .selectExpr(
+            *by,
+            f"_acc AS {METRICS[0]}",
+            f"_hom AS {METRICS[1]}",
+            f"_com AS {METRICS[2]}",
+            f"CASE WHEN _hom + _com = 0 THEN 0D ELSE 2 * _hom * _com / (_hom + _com) END AS {METRICS[3]}",
+            f"CASE WHEN {single} THEN 1D ELSE coalesce(try_divide(_together - _chance, _most - _chance), 1D) END"
+            f" AS {METRICS[4]}",
+            # no room above chance: the ratio would be rounding noise
+            f"CASE WHEN {single} THEN 1D WHEN abs((_hc + _hk) / 2 - _emi) < 1e-12D THEN 0D"
+            f" ELSE (_mi - _emi) / ((_hc + _hk) / 2 - _emi) END AS {METRICS[5]}",
+        )
     )
 
 
@@ -97,27 +92,23 @@ def expected_mutual_info(base: DataFrame, by: Sequence[str]) -> DataFrame:
     further than 19 square roots of ``min(a,b)`` from the mean weigh less than 1e-300 and
     vanish in a double, so a cell takes that many terms and not one per row of the batch.
     """
-    a, b, n, k = (F.col(c) for c in ("a", "b", "n", "k"))
-    marginals = [("a0", "b0"), ("a0", "b1"), ("a1", "b0"), ("a1", "b1")]
-    cells = base.select(
-        *by, "n",
-        F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in marginals])),
-    ).filter("a > 0 and b > 0")
-    reach = F.ceil(19 * F.sqrt(F.least(a, b))) + 1
-    middle = F.floor(a * b / n)
-    low = F.greatest(F.lit(1), (a + b - n).cast("long"), middle - reach)
-    high = F.least(F.least(a, b).cast("long"), middle + reach)
-    terms = cells.select(*by, "a", "b", "n", F.explode(F.sequence(low, high)).alias("k"))
-    weight = F.exp(
-        log_factorial(a) + log_factorial(b) + log_factorial(n - a) + log_factorial(n - b)
-        - log_factorial(n) - log_factorial(k) - log_factorial(a - k) - log_factorial(b - k)
-        - log_factorial(n - a - b + k)
+    pairs = ", ".join(f"struct({a} AS _a, {b} AS _b)" for a, b, _ in _CROSS)
+    reach, middle = "(ceil(19 * sqrt(least(_a, _b))) + 1)", "floor(_a * _b / _n)"
+    low = f"greatest(1L, CAST(_a + _b - _n AS long), {middle} - {reach})"
+    high = f"least(CAST(least(_a, _b) AS long), {middle} + {reach})"
+    up = ["_a", "_b", "(_n - _a)", "(_n - _b)"]
+    down = ["_n", "_k", "(_a - _k)", "(_b - _k)", "(_n - _a - _b + _k)"]
+    weight = " + ".join(map(log_factorial_sql, up)) + "".join(f" - {log_factorial_sql(x)}" for x in down)
+    term = f"_k / _n * (ln(_n) + ln(_k) - ln(_a) - ln(_b)) * exp({weight})"
+    return (
+        base.selectExpr(*by, "_n", f"inline(array({pairs}))")
+        .filter("_a > 0 AND _b > 0")
+        .selectExpr(*by, "_n", "_a", "_b", f"explode(sequence({low}, {high})) AS _k")
+        .groupBy(*by).agg(F.expr(f"sum({term}) AS _emi"))
     )
-    term = k / n * (F.log(n) + F.log(k) - F.log(a) - F.log(b)) * weight
-    return terms.groupBy(*by).agg(F.sum(term).alias("emi"))
 
 
 def long_metrics(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per group and metric."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
-    return metrics.select(*by, F.inline(pairs))
+    pairs = ", ".join(f"struct('{m}' AS metric, {m} AS value)" for m in METRICS)
+    return metrics.selectExpr(*by, f"inline(array({pairs}))")

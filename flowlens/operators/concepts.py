@@ -1,8 +1,10 @@
 """Concept comparison: cluster reference and batch rows together, for many batches at once.
 
-The clustering works like any distributed k-means: rows stay where they are, and one step is
-a scan of them against a small table of centroids that the driver sends out and gets back.
-That table has two centroids per batch, and a round holds at most ``MAX_BATCHES`` batches.
+Two ways lead to the same clusters. When every batch of a round, reference included, has at
+most ``TASK_ROWS`` rows, one shuffle brings each batch to a task that runs all steps. Beyond
+that the clustering works like any distributed k-means: rows stay where they are, and one
+step is a scan of them against a small table of centroids that the driver sends out and gets
+back. That table has two centroids per batch, and a round holds at most ``MAX_BATCHES``.
 """
 
 from __future__ import annotations
@@ -10,12 +12,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_STEPS = 50
 TOLERANCE = 1e-4
 MAX_BATCHES = 10_000
+TASK_ROWS = 100_000
 
 
 def batch_ids(batches: DataFrame) -> list[int]:
@@ -130,19 +136,59 @@ class _Centroids:
         return moved
 
 
+def _farthest_row(x: np.ndarray, point: np.ndarray) -> np.ndarray:
+    apart = ((x - point) ** 2).sum(axis=1)
+    ties = x[apart == apart.max()]
+    return ties[np.lexsort(ties.T[::-1])[0]]
+
+
+def _cluster_one(x: np.ndarray, steps: int, tolerance: float) -> np.ndarray:
+    """All steps on the rows of one batch, by the same rules as the distributed ones."""
+    a = _farthest_row(x, x.mean(axis=0))
+    b = _farthest_row(x, a)
+    still = x.var(axis=0).mean() * tolerance
+    for _ in range(steps):
+        near_b = ((x - b) ** 2).sum(axis=1) < ((x - a) ** 2).sum(axis=1)
+        new_a = x[~near_b].mean(axis=0) if not near_b.all() else a
+        new_b = x[near_b].mean(axis=0) if near_b.any() else b
+        moved = ((new_a - a) ** 2).sum() + ((new_b - b) ** 2).sum()
+        a, b = new_a, new_b
+        if moved <= still:
+            break
+    if tuple(b) < tuple(a):
+        a, b = b, a
+    return (((x - b) ** 2).sum(axis=1) < ((x - a) ** 2).sum(axis=1)).astype("int32")
+
+
+def _cluster_in_tasks(
+    rows: DataFrame, columns: Sequence[str], by: str, steps: int, tolerance: float
+) -> DataFrame:
+    columns = list(columns)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(cluster=_cluster_one(pdf[columns].to_numpy(dtype="float64"), steps, tolerance))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("cluster", T.IntegerType())])
+    return rows.groupBy(by).applyInPandas(run, schema)
+
+
 def two_means(
     rows: DataFrame,
     columns: Sequence[str],
     by: str = "batch_id",
     steps: int = MAX_STEPS,
     tolerance: float = TOLERANCE,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Two clusters per batch, with ``cluster`` 0 or 1 numbered by ascending centroid.
 
     The start is deterministic. A batch settles when its centroids shift by no more than
     ``tolerance`` times its mean variance, and takes no part in later steps; a negative
-    tolerance runs all steps. ``rows`` are read in every step, so persist them first.
+    tolerance runs all steps. ``rows`` are read several times, so persist them first.
     """
+    largest = rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= task_rows:
+        return _cluster_in_tasks(rows, columns, by, steps, tolerance)
     centroids = _Centroids(rows, columns, by)
     spread = centroids.start()
     active = set(centroids.points)

@@ -120,8 +120,6 @@ class Adaptive:
 
     def _first_change(self, epoch: Epoch, members: DataFrame, last: int) -> tuple[int | None, int]:
         """First batch with a change, and the last batch looked at. At most ``round_size`` batches."""
-        if members.isEmpty():
-            return None, last
         measured = batch_metrics(epoch.reference, members, self.columns, scaled=self.scaled)
         by_batch: dict[int, dict[str, float]] = {}
         for row in measured.collect():

@@ -16,6 +16,7 @@ from flowlens.schema import FEATURES
 
 # The name of the one clustering in the panel.
 CLASSIFIERS = {"KMeans": two_means}
+METRIC_SCHEMA = "classifier string, batch_id long, metric string, value double"
 
 
 def with_epochs(series: DataFrame, resets: Sequence[int], seq: str = "seq") -> DataFrame:
@@ -40,11 +41,16 @@ def batch_metrics(
 
     Values near 0 (accuracy aside) say that clusters ignore the concept, so nothing changed.
     """
-    rows = label_concepts(reference, batches, columns, batch_ids(batches))
+    ids = batch_ids(batches)
+    if not ids:
+        return reference.sparkSession.createDataFrame([], METRIC_SCHEMA)
+    rows = label_concepts(reference, batches, columns, ids)
     rows = (standardize(rows, columns) if scaled else rows).persist(StorageLevel.MEMORY_AND_DISK)
     tables = []
     for name, cluster in classifiers.items():
-        table = durable(contingency(cluster(rows, columns, **options), ["batch_id"]))
+        counted = contingency(cluster(rows, columns, **options), ["batch_id"])
+        # four numbers for each batch of the round
+        table = rows.sparkSession.createDataFrame(counted.collect(), counted.schema)
         measured = long_metrics(agreement(table, ["batch_id"]), ["batch_id"])
         tables.append(measured.select(F.lit(name).alias("classifier"), "batch_id", "metric", "value"))
     rows.unpersist()
