@@ -619,7 +619,7 @@ def stream_inter_arrival(spark, sf):
     frame = stream_slot_stats(_event_stream(spark, sf), grid, f"{DELAY_SECONDS} seconds", slot=60 * SECOND)
     slots = _streamed(spark, sf, frame, "stream_slots")
     inside = slots.filter(F.col("last") < grid.end - grid.anchor)
-    found = stats.window_stats(stats.pane_stats(inside, grid.pane), grid)
+    found = stats.window_stats(stats.pane_stats(inside, grid, 60 * SECOND), grid)
     return v.rounded(found, *SPREADS[0], *SPREADS[1])
 
 

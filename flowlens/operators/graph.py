@@ -22,7 +22,7 @@ from flowlens.functions.durable import durable
 
 TASK_EDGES = 100_000
 # How many (edge, source) pairs one task handles at a time and in all.
-TASK_PAIRS = 20_000_000
+TASK_PAIRS = 200_000_000
 STEP_PAIRS = 2_000_000
 SALT_DEGREE = 10_000
 STATE_ROWS = 1_000_000_000
@@ -48,37 +48,34 @@ def degrees(edges: DataFrame) -> DataFrame:
 # --- windows that fit a task -------------------------------------------------------------
 
 
-def _level_sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values[:, order], starts, axis=1)
+def _dependencies(first: np.ndarray, to: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
+    """Brandes' dependency of some sources on every node, for all sources side by side.
 
-
-def _dependencies(src: np.ndarray, dst: np.ndarray, n: int, sources: np.ndarray) -> np.ndarray:
-    """Brandes' dependency of all sources on every node, level by level for all sources at once."""
-    by_dst, by_src = np.argsort(dst, kind="stable"), np.argsort(src, kind="stable")
-    heads, into = np.unique(dst[by_dst], return_index=True)
-    tails, out_of = np.unique(src[by_src], return_index=True)
-    rows = np.arange(len(sources))
-    depth = np.full((len(sources), n), -1)
-    paths = np.zeros((len(sources), n))
-    depth[rows, sources], paths[rows, sources] = 0, 1.0
-    level = 0
-    while True:
-        reached = np.zeros_like(paths)
-        at_level = np.where(depth == level, paths, 0.0)
-        reached[:, heads] = _level_sums(at_level[:, src], by_dst, into)
-        fresh = (reached > 0) & (depth < 0)
-        if not fresh.any():
-            break
-        level += 1
-        depth[fresh], paths[fresh] = level, reached[fresh]
-    share = np.zeros_like(paths)
-    for deeper in range(level, 0, -1):
-        weight = np.where(depth == deeper, (1.0 + share) / np.where(paths > 0, paths, 1.0), 0.0)
-        back = np.zeros_like(paths)
-        back[:, tails] = _level_sums(weight[:, dst], by_src, out_of)
-        share += np.where(depth == deeper - 1, paths * back, 0.0)
-    share[rows, sources] = 0.0
-    return share.sum(axis=0)
+    ``to[first[v]:first[v + 1]]`` are the receivers of node v. A cell ``row * n + v`` stands for
+    node v as seen from one source; a step takes the cells of one level to the next along the
+    edges that reach new cells, and these edges are all that the way back needs.
+    """
+    origins = np.arange(len(sources)) * n + sources
+    seen, paths = np.zeros(len(sources) * n, dtype=bool), np.zeros(len(sources) * n)
+    seen[origins], paths[origins] = True, 1.0
+    level, links = origins, []
+    while len(level):
+        node = level % n
+        out = first[node + 1] - first[node]
+        parent = np.repeat(level, out)
+        edge = np.arange(len(parent)) + np.repeat(first[node] - (np.cumsum(out) - out), out)
+        child = np.repeat(level - node, out) + to[edge]
+        fresh = ~seen[child]
+        parent, child = parent[fresh], child[fresh]
+        level, back = np.unique(child, return_inverse=True)
+        seen[level] = True
+        paths[level] = np.bincount(back, weights=paths[parent], minlength=len(level))
+        links.append((parent, child))
+    share = np.zeros(len(paths))
+    for parent, child in reversed(links):
+        np.add.at(share, parent, paths[parent] / paths[child] * (1.0 + share[child]))
+    share[origins] = 0.0
+    return share.reshape(len(sources), n).sum(axis=0)
 
 
 def _power_iteration(src: np.ndarray, dst: np.ndarray, n: int, steps: int, tolerance: float) -> np.ndarray:
@@ -107,11 +104,14 @@ def _task_centralities(measures: tuple[str, ...], steps: int, tolerance: float):
         between = np.zeros(n)
         if "centrality" in measures and n > 2:
             linked = src != dst
-            a, b = src[linked], dst[linked]
-            mine = np.intersect1d(np.arange(part, n, parts), a)  # a node without receivers adds nothing
-            step = max(1, STEP_PAIRS // max(len(a), n))
-            for first in range(0, len(mine), step):
-                between += _dependencies(a, b, n, mine[first:first + step])
+            order = np.argsort(src[linked], kind="stable")
+            to = dst[linked][order]
+            first = np.searchsorted(src[linked][order], np.arange(n + 1))
+            senders = np.flatnonzero(np.diff(first))  # a node without receivers adds nothing
+            mine = senders[part::parts]
+            step = max(1, STEP_PAIRS // max(len(to), n))
+            for at in range(0, len(mine), step):
+                between += _dependencies(first, to, n, mine[at:at + step])
             between /= (n - 1) * (n - 2)
         out["centrality"] = between
         first_part = "eigenvector_centrality" in measures and part == 0

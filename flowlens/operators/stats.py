@@ -8,8 +8,8 @@ neighbouring slices is known.
 
 Skew: no step gathers all packets of one address. Packets with the same address and time
 are counted map-side first; the ordered step runs per (address, slot) and holds at most one
-row per distinct microsecond of a slot; only slot summaries, at most ``MAX_SLOTS`` of them
-per address, are ordered per address.
+row per distinct microsecond of a slot. Only slot summaries are ordered per address, and per
+block of time when there can be more than ``MAX_SLOTS`` of them.
 """
 
 from __future__ import annotations
@@ -98,16 +98,33 @@ def slot_stats(placed: DataFrame, pane: int, slot: int, roles: Sequence[str] = R
     )
 
 
-def pane_stats(slots: DataFrame, pane: int) -> DataFrame:
-    """Slots merged per pane. ``prev`` is the address's last time before the pane, if any.
+def _with_before(slots: DataFrame, grid: WindowGrid, slot: int) -> tuple[DataFrame, list[str]]:
+    """Slots with ``before``, the address's last time in an earlier slot, and the keys they are
+    partitioned by. A slot is one row whatever it counted."""
+    per_pane = -(-grid.pane // slot)
+    panes = -(-(grid.end - grid.anchor) // grid.pane)
+    if panes * per_pane <= MAX_SLOTS:
+        lag = "lag(last) OVER (PARTITION BY role, IP ORDER BY pane, slot) AS before"
+        return slots.selectExpr("*", lag), ["role", "IP"]
+    keys = ["role", "IP", "block"]
+    blocked = slots.selectExpr("*", f"pane div {max(MAX_SLOTS // per_pane, 1)} AS block")
+    carried = blocked.groupBy(*keys).agg(F.expr("max(last) AS last")).selectExpr(
+        *keys, "lag(last) OVER (PARTITION BY role, IP ORDER BY block) AS carried"
+    )
+    lag = "lag(last) OVER (PARTITION BY role, IP, block ORDER BY pane, slot) AS within"
+    joined = blocked.selectExpr("*", lag).join(carried, keys)
+    return joined.withColumn("before", F.coalesce("within", "carried")), keys
 
-    All slots of an address are ordered here, but a slot is one row whatever it counted.
-    """
+
+def pane_stats(slots: DataFrame, grid: WindowGrid, slot: int = DEFAULT_SLOT) -> DataFrame:
+    """Slots merged per pane. ``prev`` is the address's last time before the pane, if any."""
+    pane = grid.pane
+    ordered, keys = _with_before(slots, grid, slot)
     inside = f"before >= pane * {pane}"
     gap = f"CASE WHEN {inside} THEN first - before END"
     return (
-        slots.selectExpr("*", "lag(last) OVER (PARTITION BY role, IP ORDER BY pane, slot) AS before")
-        .groupBy("role", "IP", "pane")
+        ordered
+        .groupBy(*keys, "pane")
         .agg(*_aggregates(
             n="sum(n)",
             len_sum="sum(len_sum)",
@@ -189,8 +206,9 @@ def packet_stats(
     packets: DataFrame, grid: WindowGrid, roles: Sequence[str] = ROLES, slot: int = DEFAULT_SLOT
 ) -> DataFrame:
     """Sender and receiver metrics of every (window, address), null where a side is missing."""
-    slots = slot_stats(positions(packets, grid), grid.pane, slot_width(grid, slot), roles)
-    return window_stats(pane_stats(slots, grid.pane), grid, roles)
+    width = slot_width(grid, slot)
+    slots = slot_stats(positions(packets, grid), grid.pane, width, roles)
+    return window_stats(pane_stats(slots, grid, width), grid, roles)
 
 
 def source_metrics(packets: DataFrame, grid: WindowGrid) -> DataFrame:

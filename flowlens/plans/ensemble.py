@@ -44,8 +44,11 @@ def batch_metrics(
     ids = batch_ids(batches)
     if not ids:
         return reference.sparkSession.createDataFrame([], METRIC_SCHEMA)
-    rows = label_concepts(reference, batches, columns, ids)
-    rows = (standardize(rows, columns) if scaled else rows).persist(StorageLevel.MEMORY_AND_DISK)
+    # kept once each: the reference is repeated for the batches while it is read
+    old = reference.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    new = batches.select("batch_id", *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = label_concepts(old, new, columns, ids)
+    rows = standardize(rows, columns) if scaled else rows
     tables = []
     for name, cluster in classifiers.items():
         counted = contingency(cluster(rows, columns, **options), ["batch_id"])
@@ -53,7 +56,8 @@ def batch_metrics(
         table = rows.sparkSession.createDataFrame(counted.collect(), counted.schema)
         measured = long_metrics(agreement(table, ["batch_id"]), ["batch_id"])
         tables.append(measured.select(F.lit(name).alias("classifier"), "batch_id", "metric", "value"))
-    rows.unpersist()
+    old.unpersist()
+    new.unpersist()
     out = tables[0]
     for table in tables[1:]:
         out = out.unionByName(table)

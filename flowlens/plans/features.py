@@ -61,12 +61,12 @@ class Capture:
 
     @classmethod
     def open(cls, packets: DataFrame, window_seconds: float, offset_seconds: float) -> Capture:
-        """Reads the bounds of the capture: the only job that runs before the features."""
-        kept = complete_packets(packets)
-        bounds = win.read_bounds(kept)
+        """Reads the bounds of the capture, from the time column alone."""
+        bounds = win.read_bounds(packets)
         if bounds is None:
-            raise ValueError("the capture holds no packet with both endpoints and a time")
-        return cls(kept, int(window_seconds * SECOND), int(offset_seconds * SECOND), *bounds)
+            raise ValueError("the capture holds no packet with a time")
+        size, offset = int(window_seconds * SECOND), int(offset_seconds * SECOND)
+        return cls(complete_packets(packets), size, offset, *bounds)
 
     def _anchor(self, anchor: datetime | int | None) -> int:
         return self.start if anchor is None else to_micros(anchor)

@@ -55,6 +55,16 @@ def test_statistics_follow_the_window_scan(spark, size, offset, slot):
     assert_equal(found, brute.packet_stats(packets, starts, size))
 
 
+def test_many_slots_are_ordered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MAX_SLOTS", 3)
+    packets = traffic(77)
+    grid = WindowGrid(500_000, 9 * SECOND, 2 * SECOND, 20)
+    starts = [grid.anchor + k * grid.offset for k in range(20)]
+    found = stats.packet_stats(table(spark, packets), grid)
+    assert "block" in found._jdf.queryExecution().toString()
+    assert_equal(found, brute.packet_stats(packets, starts, grid.size))
+
+
 def test_steady_gaps_have_no_spread(spark):
     """A beacon: large equal gaps would lose a spread computed from floating sums."""
     packets = [("bot", "c2", 3_600_000_001 * i, 100) for i in range(50)] + [("bot", "c2", 3_600_000_001 * 50 + 1, 100)]
