@@ -65,15 +65,15 @@ def positions(packets: DataFrame, grid: WindowGrid) -> DataFrame:
 
 
 def slot_stats(placed: DataFrame, pane: int, slot: int, roles: Sequence[str] = ROLES) -> DataFrame:
-    """One row per (role, address, pane, slot): packet sums, first and last time, gaps inside."""
-    sides = ", ".join(f"struct('{role}' AS role, {role} AS IP)" for role in roles)
+    """One row per (role, address, pane, slot): packet sums, first and last time, gaps inside.
+
+    ``role`` is the position in ``ROLES``.
+    """
+    sides = ", ".join(f"struct({ROLES.index(role)} AS role, {role} AS IP)" for role in roles)
     return (
         placed.selectExpr("rel", "frame_len", f"inline(array({sides}))")
-        .selectExpr(
-            "role", "IP", "rel", "frame_len", f"rel div {pane} AS pane", f"rel % {pane} div {slot} AS slot"
-        )
         # packets of one address at one instant: only a zero gap between each two
-        .groupBy("role", "IP", "pane", "slot", "rel")
+        .groupBy("role", "IP", "rel")
         .agg(*_aggregates(
             n="count(*)",
             len_sum="sum(CAST(frame_len AS long))",
@@ -81,6 +81,7 @@ def slot_stats(placed: DataFrame, pane: int, slot: int, roles: Sequence[str] = R
             len_min="min(frame_len)",
             len_max="max(frame_len)",
         ))
+        .selectExpr("*", f"rel div {pane} AS pane", f"rel % {pane} div {slot} AS slot")
         .selectExpr("*", "rel - lag(rel) OVER (PARTITION BY role, IP, pane, slot ORDER BY rel) AS gap")
         .groupBy("role", "IP", "pane", "slot")
         .agg(*_aggregates(
@@ -166,7 +167,7 @@ def window_stats(panes: DataFrame, grid: WindowGrid, roles: Sequence[str] = ROLE
         tag = PREFIX[role]
 
         def of(name: str, role: str = role) -> str:
-            return name if len(roles) == 1 else f"CASE WHEN role = '{role}' THEN {name} END"
+            return name if len(roles) == 1 else f"CASE WHEN role = {ROLES.index(role)} THEN {name} END"
 
         sums |= {
             f"{tag}_n": f"sum({of('n')})",

@@ -20,7 +20,7 @@ def _duration(micros: int) -> str:
 
 
 def _sides(roles: Sequence[str] = ROLES) -> Column:
-    return F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("IP")) for r in roles]))
+    return F.inline(F.array(*[F.struct(F.lit(ROLES.index(r)).alias("role"), F.col(r).alias("IP")) for r in roles]))
 
 
 def _late_after(packets: DataFrame, delay: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _placed(closed: DataFrame, anchor: int, offset: int) -> DataFrame:
 
 def stream_packet_stats(packets: DataFrame, anchor: int, size: int, offset: int, delay: str) -> DataFrame:
     """Packet size statistics of both roles per (window, address); a window comes out when it is closed."""
-    source, length = F.col("role") == "Source", F.col("frame_len").cast("long")
+    source, length = F.col("role") == ROLES.index("Source"), F.col("frame_len").cast("long")
     sent, received = F.when(source, length), F.when(~source, length)
     rows = _late_after(packets, delay).select("parsed_time", "frame_len", _sides())
     closed = rows.groupBy(_sliding(anchor, size, offset), "IP").agg(
