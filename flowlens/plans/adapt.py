@@ -159,10 +159,27 @@ def scratch_table(df: DataFrame, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def adapt(train: DataFrame, test: DataFrame, settings: Adaptive | None = None) -> DataFrame:
-    """Run the loop over labelled features; one row of run statistics per batch with rows enough."""
+def in_time_order(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows written down so that each file holds a short stretch of time.
+
+    A round then reads the files of its batches and no others. The hash keeps a stretch
+    with very many rows from being one file.
+    """
+    folder = scratch_table(rows, "rows")
+    rows.repartitionByRange(F.col(ON), F.xxhash64(*columns)).sortWithinPartitions(ON).write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def adapt(
+    train: DataFrame, test: DataFrame, settings: Adaptive | None = None, stored: bool = False
+) -> DataFrame:
+    """Run the loop over labelled features; one row of run statistics per batch with rows enough.
+
+    Every round reads its part of ``test``. It is written down in time order first, unless
+    ``stored`` says that it is a table of that kind already.
+    """
     settings = settings or Adaptive()
-    rows = durable(test)
+    rows = test if stored else in_time_order(test, settings.columns)
     folder = scratch_table(test, "run_statistics")
     settings.advance(
         settings.begin(train), rows, settings.grid(rows), lambda s: s.write.mode("append").parquet(folder)

@@ -106,11 +106,12 @@ def select_model(
         "held", F.pmod(F.xxhash64(*columns), F.lit(FOLDS)) == 0
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        labels = data.agg(
-            F.count_distinct(F.when(~F.col("held"), F.col(LABEL))), F.count_if("held"), F.count("*")
+        seen = data.selectExpr(
+            f"min(CASE WHEN NOT held THEN {LABEL} END) AS low", f"max(CASE WHEN NOT held THEN {LABEL} END) AS high",
+            "count_if(held) AS n_held",
         ).first()
         # without two classes to learn from, or nothing to test on, all rows serve both ends
-        whole = labels[0] < 2 or labels[1] == 0
+        whole = seen.low == seen.high or seen.n_held == 0
         train = data if whole else data.filter(~F.col("held"))
         test = data if whole else data.filter("held")
         best, tried = None, []
