@@ -200,6 +200,10 @@ FROM p, b WHERE us >= cs AND us < ce""",
     "packet_table": _with(EVENT_PACKETS)
     + """SELECT "Source", "Destination", "Protocol", frame_len, CAST(us // 1000000 AS DOUBLE) AS time_epoch,
  date_trunc('second', parsed_time) AS parsed_time FROM p""",
+    "packets_csv": _with(EVENT_PACKETS)
+    + '''SELECT "Source", "Destination", "Protocol", frame_len, us // 1000000 AS second, us // 1000000 AS parsed_second FROM p''',
+    "packet_ids": "SELECT count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events",
+    "incomplete_packets": "SELECT count(*) AS n_incomplete FROM events WHERE event_type = 'error'",
     "windows_next": _listed(_windows(FEATURES, f"cs + 100 * {F_OFF}", "k < 100 AND a <= ce")),
     "windows_until": _listed(
         _windows(FEATURES, f"cs + 4 * {F_OFF}", f"a < cs + 4 * {F_OFF} + {7 * DAY_US} AND a <= ce")
@@ -477,7 +481,7 @@ def _detected(name: str, body: str) -> str:
 
 
 EPOCHS = SERIES.replace("x AS", "x0 AS") + """,
-x AS (SELECT *, (CASE WHEN seq >= 100 THEN 1 ELSE 0 END + CASE WHEN seq >= 350 THEN 1 ELSE 0 END + CASE WHEN seq >= 351 THEN 1 ELSE 0 END)::BIGINT AS epoch FROM x0)"""
+x AS (SELECT *, (CASE WHEN seq >= 30 THEN 1 ELSE 0 END + CASE WHEN seq >= 500 THEN 1 ELSE 0 END + CASE WHEN seq >= 501 THEN 1 ELSE 0 END)::BIGINT AS epoch FROM x0)"""
 
 SQL |= {
     "ddm": _detected("DDM", _ddm(["series"])),

@@ -120,6 +120,51 @@ def packet_table(spark, sf):
     return v.civil(packets.withColumn("parsed_time", parsed_time(F.col("time_epoch"))))
 
 
+def _capture_file(spark, sf) -> str:
+    """The event packets written down as a capture CSV."""
+    from flowlens.plans.adapt import scratch_table
+
+    packets = v.event_packets(spark, sf)
+    folder = scratch_table(packets, "capture")
+    packets.selectExpr(
+        "CAST(parsed_time AS string) AS `frame.time`", "CAST(time_epoch AS decimal(16,6)) AS `frame.time_epoch`",
+        "Source AS `_ws.col.Source`", "Destination AS `_ws.col.Destination`", "Protocol AS `_ws.col.Protocol`",
+        "frame_len AS `frame.len`",
+    ).write.csv(folder, sep=";", header=True)
+    return folder
+
+
+@query("packets_csv")
+def packets_csv(spark, sf):
+    """A capture CSV read with its schema. Times are cut to microseconds from a double, so whole seconds show."""
+    from flowlens.sources.packets import complete_packets, read_packets_csv
+
+    packets = complete_packets(read_packets_csv(spark, _capture_file(spark, sf)))
+    return packets.select(
+        "Source", "Destination", "Protocol", "frame_len",
+        F.floor("time_epoch").alias("second"), F.unix_seconds("parsed_time").alias("parsed_second"),
+    )
+
+
+@query("packet_ids")
+def packet_ids(spark, sf):
+    """Row ids and the global order, both on request only: ids are unique, the order is by time."""
+    from flowlens.sources.packets import read_packets_csv
+
+    packets = read_packets_csv(spark, _capture_file(spark, sf), row_id=True, ordered=True)
+    return packets.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
+@query("incomplete_packets")
+def incomplete_packets(spark, sf):
+    """Packets without an endpoint are counted; here those of one event type lose their receiver."""
+    from flowlens.sources.packets import count_incomplete
+
+    packets = v.event_packets(spark, sf)
+    hidden = packets.withColumn("Destination", F.expr("CASE WHEN Protocol <> 'error' THEN Destination END"))
+    return count_incomplete(hidden)
+
+
 @query("windows_next")
 def windows_next(spark, sf):
     capture = v.event_capture(spark, sf, v.FEATURES)
@@ -482,7 +527,7 @@ def kswin(spark, sf):
 
 @query("epoch_reset")
 def epoch_reset(spark, sf):
-    series = en.with_epochs(v.hourly_series(spark, sf), [100, 350, 351])
+    series = en.with_epochs(v.hourly_series(spark, sf), [30, 500, 501])
     return detect(series, ["series", "epoch"], panel={"DDM": Ddm})
 
 
@@ -540,18 +585,22 @@ def model_selection(spark, sf):
     return chosen.predict(rows).select("window_index", "IP", "isBot", "prediction")
 
 
-@query("adaptive_run")
-def adaptive_run(spark, sf):
+def _adaptive_parts(spark, sf) -> tuple[DataFrame, DataFrame, ad.Adaptive]:
+    """Ten days to learn from, the rest to watch in batches of three days."""
     rows = _labelled(spark, sf).persist()
     start, _ = win.read_bounds(rows, "window_start")
-    day = 24 * v.HOUR * SECOND
-    train = tr.in_time_range(rows, start, start + 10 * day, include_upper=False, on="window_start")
-    test = tr.in_time_range(rows, start + 10 * day, on="window_start")
+    middle = start + 10 * 24 * v.HOUR * SECOND
     settings = ad.Adaptive(
         batch_seconds=3 * 24 * v.HOUR, offset_seconds=24 * v.HOUR, columns=PACKET_FEATURES,
         select=lambda df: select_model(df, PACKET_FEATURES, time_limit=None, max_candidates=1),
     )
-    return v.civil(ad.adapt(train, test, settings))
+    train = tr.in_time_range(rows, start, middle, include_upper=False, on="window_start")
+    return train, tr.in_time_range(rows, middle, on="window_start"), settings
+
+
+@query("adaptive_run")
+def adaptive_run(spark, sf):
+    return v.civil(ad.adapt(*_adaptive_parts(spark, sf)))
 
 
 # --- streams -----------------------------------------------------------------------------
@@ -637,3 +686,22 @@ def stream_detectors(spark, sf):
         panel={"DDM": Ddm, "HDDM_A": HddmA},
     )
     return _streamed(spark, sf, frame, "stream_detectors")
+
+
+@query("stream_adaptive_run")
+def stream_adaptive_run(spark, sf):
+    """The adaptive loop as a sink of a stream of labelled feature rows."""
+    from flowlens.streaming.adapt import AdaptiveSink
+
+    train, test, settings = _adaptive_parts(spark, sf)
+    folder = ad.scratch_table(test, "stream_adaptive")
+    test.write.parquet(f"{folder}/rows")
+    start, _ = win.read_bounds(test, "window_start")
+    sink = AdaptiveSink(f"{folder}/loop", settings)
+    sink.begin(train, start)
+    run = (
+        spark.readStream.schema(test.schema).parquet(f"{folder}/rows").writeStream.foreachBatch(sink)
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return v.civil(sink.statistics(spark))

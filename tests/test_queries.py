@@ -7,7 +7,7 @@ import compare
 
 FOLDER = "/root/testdata/sf0.001"
 # rows only; each has its own tests on fixtures
-SLOW = {"adaptive_run", "model_selection", "ensemble_fit_predict"}
+SLOW = {"adaptive_run", "stream_adaptive_run", "model_selection", "ensemble_fit_predict"}
 
 
 @pytest.fixture(scope="module")
