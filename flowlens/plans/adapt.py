@@ -162,12 +162,16 @@ def scratch_table(df: DataFrame, name: str) -> str:
 def in_time_order(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows written down so that each file holds a short stretch of time.
 
-    A round then reads the files of its batches and no others. The hash keeps a stretch
-    with very many rows from being one file.
+    A round then reads the row groups of its batches and no others. The hash keeps a stretch
+    with very many rows from being one file. Finding the ranges reads the rows once more, so
+    they are computed into a table first.
     """
-    folder = scratch_table(rows, "rows")
-    rows.repartitionByRange(F.col(ON), F.xxhash64(*columns)).sortWithinPartitions(ON).write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    computed, ordered = scratch_table(rows, "rows"), scratch_table(rows, "rows_by_time")
+    reader = rows.sparkSession.read.schema(rows.schema)
+    rows.write.parquet(computed)
+    by_time = reader.parquet(computed).repartitionByRange(F.col(ON), F.xxhash64(*columns))
+    by_time.sortWithinPartitions(ON).write.parquet(ordered)
+    return reader.parquet(ordered)
 
 
 def adapt(

@@ -97,17 +97,17 @@ def test_planted_change_is_found_and_learned(spark):
 
 
 def test_round_size_does_not_matter(spark):
-    rows = feature_rows(spark, 200, 120)
+    rows = feature_rows(spark, 150, 90)
     train = in_time_range(rows, 0, 50_000_000, include_upper=False, on="window_start")
     test = in_time_range(rows, 50_000_000, on="window_start")
     runs = [
-        sorted(tuple(r) for r in ad.adapt(train, test, settings(round_size=n)).collect()) for n in (3, 20)
+        sorted(tuple(r) for r in ad.adapt(train, test, settings(round_size=n)).collect()) for n in (4, 20)
     ]
     assert runs[0] == runs[1]
 
 
 def test_score_before_refit_shows_the_drop(spark):
-    rows = feature_rows(spark, 200, 120)
+    rows = feature_rows(spark, 150, 90)
     train = in_time_range(rows, 0, 50_000_000, include_upper=False, on="window_start")
     test = in_time_range(rows, 50_000_000, on="window_start")
     found = ad.adapt(train, test, settings(score_before_refit=True)).orderBy("batch_id").collect()
@@ -118,10 +118,10 @@ def test_score_before_refit_shows_the_drop(spark):
 def test_streaming_sink_equals_batch(spark, tmp_path):
     from flowlens.streaming.adapt import AdaptiveSink
 
-    rows = feature_rows(spark, 200, 120)
+    rows = feature_rows(spark, 150, 90)
     train = in_time_range(rows, 0, 50_000_000, include_upper=False, on="window_start")
     test = in_time_range(rows, 50_000_000, on="window_start")
-    for part, (low, high) in enumerate([(50, 93), (93, 151), (151, 200)]):
+    for part, (low, high) in enumerate([(50, 83), (83, 121), (121, 150)]):
         piece = in_time_range(test, low * 1_000_000, high * 1_000_000, include_upper=False, on="window_start")
         piece.coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
     sink = AdaptiveSink(str(tmp_path / "adaptive"), settings())
