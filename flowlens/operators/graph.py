@@ -297,13 +297,15 @@ def centralities(
     state_rows: int = STATE_ROWS,
     steps: int = MAX_STEPS,
     tolerance: float = TOLERANCE,
+    written: bool = False,
 ) -> DataFrame:
     """Betweenness and eigenvector centrality of every (window, node), unweighted and directed.
 
-    Runs one job ahead to write the edges down and to see whether a window is too large for
-    a task; the joins of the second way are only planned when there is one.
+    Writes the edges down, unless ``written`` says they are, and sees whether a window is too
+    large for a task; the joins of the second way are only planned when there is one.
     """
-    kept = durable(edges.select(WINDOW, "Source", "Destination"))
+    kept = edges.select(WINDOW, "Source", "Destination")
+    kept = kept if written else durable(kept)
     sizes = kept.groupBy(WINDOW).agg(F.count("*").alias("m"))
     beyond = sizes.filter(F.col("m") > task_edges).select(WINDOW)
     # a window has at most 2m nodes, so m * 2m pairs bound the work of its betweenness
@@ -339,10 +341,14 @@ def eigenvector(edges: DataFrame, **options) -> DataFrame:
 
 
 def graph_metrics(edges: DataFrame, **options) -> DataFrame:
-    """Degrees and both centralities, one row per (window, node), zero where undefined."""
+    """Degrees and both centralities, one row per (window, node), zero where undefined.
+
+    The edges are written down once and serve all of them.
+    """
+    kept = durable(edges.select(WINDOW, "Source", "Destination"))
     zero = [F.coalesce(name, F.lit(0.0)).alias(name) for name in ("centrality", "eigenvector_centrality")]
     return (
-        degrees(edges)
-        .join(centralities(edges, **options), [WINDOW, "IP"], "left")
+        degrees(kept)
+        .join(centralities(kept, written=True, **options), [WINDOW, "IP"], "left")
         .select(WINDOW, "IP", "in_degree", "out_degree", *zero)
     )
