@@ -16,7 +16,7 @@ BYTE_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Any white space besides the blank and the line feed.
 ODD_SPACE = re.compile(r"[^\S \n]")
 LONGEST_KEPT = 48
-MOST_KEPT = 350_000
+MOST_WORDS, MOST_RUNS = 400_000, 1_000_000
 
 
 class WordTokens:
@@ -46,9 +46,9 @@ class WordTokens:
         except KeyError:
             self._learn({w for w in words if w not in self.words})
         out = b"".join([self.words[w] for w in words])
-        if len(self.words) > MOST_KEPT:
+        if len(self.words) > MOST_WORDS:
             self.words = {}
-        if len(self.runs) > MOST_KEPT:
+        if len(self.runs) > MOST_RUNS:
             self.runs = {}
         return out
 
