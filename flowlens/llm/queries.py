@@ -14,7 +14,9 @@ from flowlens.llm.ann import nearest_neighbours
 from flowlens.llm.common import table
 from flowlens.llm.embedding_dedup import near_duplicate_vectors
 from flowlens.llm.packing import pack
+from flowlens.llm.quality import fit_quality, score_quality
 from flowlens.llm.token_binary import read_token_file, write_token_file
+from flowlens.llm.toxicity import fit_toxicity, score_toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -25,11 +27,23 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op2_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf, "labels")))
+
+
 @query
 def op4_nearest_neighbours(spark, sf):
     return nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op6_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf, "labels")))
+
+
 @query
 def op7_token_binary(spark, sf):
     path = f"{Scratch(spark, 'token-file').folder}/{uuid.uuid4().hex}"
