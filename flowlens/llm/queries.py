@@ -13,8 +13,10 @@ from flowlens.functions.durable import Scratch
 from flowlens.llm.ann import nearest_neighbours
 from flowlens.llm.common import table
 from flowlens.llm.embedding_dedup import near_duplicate_vectors
+from flowlens.llm.jaccard_join import jaccard_components
 from flowlens.llm.packing import pack
 from flowlens.llm.quality import fit_quality, score_quality
+from flowlens.llm.suffix_dedup import remove_repeats
 from flowlens.llm.token_binary import read_token_file, write_token_file
 from flowlens.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -33,11 +35,21 @@ def op2_quality(spark, sf):
     return score_quality(docs, fit_quality(docs, table(spark, sf, "labels")))
 
 
+@query
+def op3_suffix_dedup(spark, sf):
+    return remove_repeats(table(spark, sf, "documents"), length=50)
+
+
 @query
 def op4_nearest_neighbours(spark, sf):
     return nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op5_jaccard_join(spark, sf):
+    return jaccard_components(table(spark, sf, "documents"), width=4, percent=85)
+
+
 @query
 def op6_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
