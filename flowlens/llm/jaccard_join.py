@@ -300,7 +300,7 @@ def _tiles(percent: int):
 
     def one(rows: pa.Table, out: list) -> None:
         ask = rows.column("ask").to_numpy(zero_copy_only=False)
-        ids, parts = rows.column("doc_id").to_numpy(), rows.column("part").to_numpy()
+        ids, parts = rows.column("doc_id").to_numpy(), rows.column("part").to_numpy().copy()
         sets = [x.values.to_numpy() for x in rows.column("grams")]
         stored = np.nonzero(~ask)[0]
         index = DivideSkip([sets[i] for i in stored])
