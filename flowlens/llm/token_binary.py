@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.tokens import END, tokens
+from flowlens.llm.tokens import END, encoded, tokens
 
 #: Fixed values, the format: by selector, how many ids a 64-bit word holds in its lower 60 bits.
 COUNTS = [60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -62,11 +62,12 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     starts = np.array(starts)
     selectors = choice[starts].astype(np.uint64)
     words = selectors << np.uint64(60)
+    small = np.where(escaped, np.uint64(0), ids) if escaped.any() else ids
     for selector in np.unique(selectors):
         mine = np.nonzero(selectors == selector)[0]
         width = WIDTHS[int(selector)]
         for i in range(COUNTS[int(selector)]):
-            words[mine] |= np.where(escaped[starts[mine] + i], np.uint64(0), ids[starts[mine] + i]) << np.uint64(i * width)
+            words[mine] |= small[starts[mine] + i] << np.uint64(i * width)
     if escaped.any():
         which = escaped[starts]
         words[which] = (np.uint64(ESCAPE) << np.uint64(60)) | np.arange(which.sum(), dtype=np.uint64)
@@ -105,7 +106,7 @@ def _writer(path: str, end: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, tail = tokens(path).encode, np.array([end], "<u4").tobytes()
+        tail = np.array([end], "<u4").tobytes()
         ids, held, sizes, pieces, block, first = [], 0, [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -115,17 +116,15 @@ def _writer(path: str, end: int):
             names = [x.split()[0] for x in BLOCKS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                piece = encode(text.as_py() or "") + tail
-                ids.append(doc)
-                sizes.append(len(piece) // 4)
-                pieces.append(piece)
-                held += sizes[-1]
-                if held >= BLOCK_IDS:
-                    yield flush()
-                    first, block = first + held, block + 1
-                    ids, held, sizes, pieces = [], 0, [], []
+        for doc, piece in encoded(batches, tokens(path).encode_all):
+            ids.append(doc)
+            sizes.append(len(piece) // 4 + 1)
+            pieces.extend((piece, tail))
+            held += sizes[-1]
+            if held >= BLOCK_IDS:
+                yield flush()
+                first, block = first + held, block + 1
+                ids, held, sizes, pieces = [], 0, [], []
         if ids:
             yield flush()
 

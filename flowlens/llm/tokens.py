@@ -16,11 +16,13 @@ BYTE_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Any white space besides the blank and the line feed.
 ODD_SPACE = re.compile(r"[^\S \n]")
 LONGEST_KEPT = 48
-MOST_WORDS, MOST_RUNS = 400_000, 1_000_000
+MOST_WORDS, MOST_RUNS = 1_200_000, 200_000
+#: So many characters of texts are looked up together.
+TOGETHER = 1 << 20
 
 
 class WordTokens:
-    """Ids of a text, equal to those of the tokenizer on the whole text.
+    """Ids of texts, equal to those of the tokenizer on the whole texts.
 
     Both tokenizers cut a text into runs that never meet in a merge: at blanks, and between
     letters, digits and signs. So the ids of a text are the ids of its runs, and each worker
@@ -35,57 +37,95 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True
         self.lower = self.tokenizer.normalizer is not None
         self.cut = regex.compile(WORD_RUNS if self.lower else BYTE_RUNS).findall
-        self.words: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # words behind a blank, without it
         self.runs: dict[str, bytes] = {}
+        self.signs = dict(zip(".,", self._ask([".", ","])))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        words = self._word_cuts(text) if self.lower else self._byte_cuts(text)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn({w for w in words if w not in self.words})
-        out = b"".join([self.words[w] for w in words])
-        if len(self.words) > MOST_WORDS:
-            self.words = {}
-        if len(self.runs) > MOST_RUNS:
-            self.runs = {}
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        parts = [self._word_parts(t) if self.lower else self._byte_parts(t) for t in texts]
+        for known, blank, which in ((self.plain, "", 0), (self.spaced, " ", 1)):
+            if len(known) > MOST_WORDS:
+                known.clear()
+            words: set[str] = set()
+            for part in parts:
+                words.update(*[p[which] for p in part])
+            self._learn(words.difference(known), blank, known)
+        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
+        return [b"".join([b"".join((*map(plain, a), *map(spaced, b))) for a, b in part]) for part in parts]
+
+    def _word_parts(self, text: str) -> list[tuple[list[str], list[str]]]:
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+        if "\u03a3" not in text:  # the lower case of this letter depends on what follows
+            text = text.lower()
+        return [(text.replace("\n", " ").split(" "), [])]
+
+    def _byte_parts(self, text: str) -> list[tuple[list[str], list[str]]]:
+        if (
+            "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+            or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or ODD_SPACE.search(text)
+        ):
+            return [(self.cut(text), [])]
+        out, head = [], []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(([*head, first], rest))
+            head = ["\n"]
+        return out
+
+    def _ask(self, runs: list[str]) -> list[bytes]:
+        """The library's ids of runs."""
+        out = []
+        for begin in range(0, len(runs), 4096):
+            got = self.tokenizer.encode_batch_fast(runs[begin : begin + 4096], add_special_tokens=False)
+            out.extend([np.array(g.ids, "<u4").tobytes() for g in got])
         return out
 
-    def _word_cuts(self, text: str) -> list[str]:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return text.split(" ")
-
-    def _byte_cuts(self, text: str) -> list[str]:
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or ODD_SPACE.search(text):
-            return self.cut(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if rest else [first]
-
-    def _learn(self, words: set[str]) -> None:
-        pieces = {w: self._runs_of(w) for w in words}
-        unknown = list({r for runs in pieces.values() for r in runs if r not in self.runs})
-        fresh = {}
-        for begin in range(0, len(unknown), 4096):
-            part = unknown[begin : begin + 4096]
-            for run, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                fresh[run] = np.array(got.ids, "<u4").tobytes()
-        self.runs.update((r, ids) for r, ids in fresh.items() if len(r) <= LONGEST_KEPT)
-        fresh = fresh | {r: self.runs[r] for runs in pieces.values() for r in runs if r not in fresh}
-        made = {w: b"".join([fresh[r] for r in runs]) for w, runs in pieces.items()}
-        self.words.update(made)
-
-    def _runs_of(self, word: str) -> list[str]:
-        if not self.lower:
-            return self.cut(word)
-        if "Σ" not in word:  # its lower case depends on what follows
-            word = word.lower()
-        if word.isalpha():
-            return [word]
-        if word[-1:] in ".,!" and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return self.cut(word)
+    def _learn(self, words: set[str], blank: str, known: dict[str, bytes]) -> None:
+        """Add words to ``known``: letters alone, letters and a sign behind them, or anything else."""
+        stems, signed, others = set(), [], []
+        for word in words:
+            if word.isalpha():
+                stems.add(word)
+            elif word[-1:] in self.signs and word[:-1].isalpha():
+                signed.append(word)
+                if word[:-1] not in known:
+                    stems.add(word[:-1])
+            else:
+                others.append(word)
+        fresh = list(stems)
+        known.update(zip(fresh, self._ask([blank + w for w in fresh])))
+        known.update([(w, known[w[:-1]] + self.signs[w[-1]]) for w in signed])
+        if len(self.runs) > MOST_RUNS:
+            self.runs.clear()
+        pieces = [(w, self.cut(blank + w)) for w in others]
+        unknown = list({r for _, made in pieces for r in made}.difference(self.runs))
+        self.runs.update(zip(unknown, self._ask(unknown)))
+        known.update([(w, b"".join([self.runs[r] for r in made])) for w, made in pieces])
+        for run in unknown:
+            if len(run) > LONGEST_KEPT:
+                del self.runs[run]
+
+
+def encoded(batches, encode_all):
+    """Documents of Arrow batches with the ids of their whole texts, in order; a null text is empty."""
+    for batch in batches:
+        ids, texts, held = [], [], 0
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            ids.append(doc)
+            texts.append(text.as_py() or "")
+            held += len(texts[-1])
+            if held > TOGETHER:
+                yield from zip(ids, encode_all(texts))
+                ids, texts, held = [], [], 0
+        yield from zip(ids, encode_all(texts))
 
 
 _LOADED: dict[str, WordTokens] = {}
