@@ -13,6 +13,7 @@ from flowlens.functions.durable import Scratch
 from flowlens.llm.ann import nearest_neighbours
 from flowlens.llm.common import table
 from flowlens.llm.embedding_dedup import near_duplicate_vectors
+from flowlens.llm.html_extract import extract_main_text, fit_weights
 from flowlens.llm.jaccard_join import jaccard_components
 from flowlens.llm.packing import pack
 from flowlens.llm.quality import fit_quality, score_quality
@@ -63,6 +64,12 @@ def op7_token_binary(spark, sf):
     return read_token_file(spark, path)
 
 
+@query
+def op8_html_extract(spark, sf):
+    pages = table(spark, sf, "pages")
+    return extract_main_text(pages, fit_weights(pages))
+
+
 @query
 def op9_packing(spark, sf):
     return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
