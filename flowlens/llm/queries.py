@@ -16,6 +16,7 @@ from flowlens.llm.embedding_dedup import near_duplicate_vectors
 from flowlens.llm.html_extract import extract_main_text, fit_weights
 from flowlens.llm.jaccard_join import jaccard_components
 from flowlens.llm.packing import pack
+from flowlens.llm.piece_sampling import decode_pieces, sample_pieces
 from flowlens.llm.quality import fit_quality, score_quality
 from flowlens.llm.suffix_dedup import remove_repeats
 from flowlens.llm.token_binary import read_token_file, write_token_file
@@ -30,6 +31,18 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_sentencepiece(spark, sf):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode_pieces(sample_pieces(table(spark, sf, "documents"), model), model)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("lossless"),
+    )
+
+
 @query
 def op2_quality(spark, sf):
     docs = table(spark, sf, "documents")
