@@ -22,7 +22,8 @@ from flowlens.functions.durable import Scratch
 from flowlens.llm.common import complete_groups, boundaries, prefix_hash, range_hash, text_batches
 from flowlens.llm.components import connected_components
 
-SLICE = 1 << 21
+#: Bytes and rows that a worker looks at together.
+SLICE, ROWS = 1 << 19, 1000
 BLOCK = 1000
 #: Inverted lists up to this length give pairs, longer ones tiles.
 SHORT_LIST = 48
@@ -90,6 +91,15 @@ def _longs(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat.view(np.int64)))
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time; what Arrow has set aside in between is given back."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS):
+            yield batch.slice(begin, ROWS)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 WINDOWS = "doc_id long, n long, same binary, grams array<long>"
 
 
@@ -97,7 +107,7 @@ def _windows(width: int, percent: int):
     """Per document: number of shingles, a digest of the set, and the smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             sets = document_shingles(*text_batches(batch, "text"), width)
             n = np.array([len(s) for s in sets], np.int64)
             take = n - least_overlap(n, percent) + slack(n, percent)
@@ -181,7 +191,7 @@ def _sets(width: int, flags: np.ndarray):
     """The whole shingle sets of the documents whose place is set in ``flags``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             at = batch.column("place").to_numpy()
             batch = batch.filter(pa.array(flags[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
             sets = document_shingles(*text_batches(batch, "text"), width)
@@ -229,7 +239,7 @@ def overlap_reached(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             left, right = batch.column("left"), batch.column("right")
             good = [overlap_reached(a.values.to_numpy(), b.values.to_numpy(), percent) for a, b in zip(left, right)]
             kept = batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
