@@ -4,10 +4,46 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlens.functions.durable import Scratch
 from flowlens.functions.shipping import ship
+from flowlens.llm.common import table
+from flowlens.llm.jaccard_join import jaccard_components
 from flowlens.llm.packing import pack
+from flowlens.llm.quality import fit_quality, score_quality
+from flowlens.llm.suffix_dedup import remove_repeats
+from flowlens.llm.toxicity import fit_toxicity, score_toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose strongest window is toxic."""
+    network = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, network, COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that both views together call poor."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, COLUMNS).where("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingles of five words at a similarity of 0.8, keep the smallest doc_id."""
+    parts = jaccard_components(docs, width=5, percent=80)
+    gone = parts.where("component_id != doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out every string of 50 bytes that an earlier document has; ``n_chars`` follows the text."""
+    kept = remove_repeats(docs, length=50, with_text=True).select("doc_id", "text")
+    known = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
+    return kept.join(known, "doc_id").select(
+        "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")
+    )
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +51,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeats", repeats),
+    ("packing", packing),
+]
 
 #: Models and tokenizers cannot be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -24,10 +66,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = scratch.keep(docs)
+            if number > 1:
+                scratch.drop(before)
     return docs

@@ -174,30 +174,30 @@ def co_train(
 VIEWS = "doc_id long, text_view array<float>, page_view array<float>"
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The views of a batch, a few rows at a time."""
     for begin in range(0, batch.num_rows, 512):
         part = batch.slice(begin, 512)
         texts = np.stack([text_view(t.as_py() or "") for t in part.column("text")])
         meta = zip(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-        yield part.column("doc_id"), texts, np.stack([page_view(*m) for m in meta])
+        yield part, texts, np.stack([page_view(*m) for m in meta])
 
 
 def _view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, texts, pages in _rows(batch):
-            columns = [ids, pa.array(list(texts), pa.list_(pa.float32())), pa.array(list(pages), pa.list_(pa.float32()))]
+        for part, texts, pages in _rows(batch):
+            columns = [part.column("doc_id"), pa.array(list(texts), pa.list_(pa.float32())), pa.array(list(pages), pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_view", "page_view"])
 
 
-def _score(model: CoTrained):
+def _score(model: CoTrained, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, pages in _rows(batch):
+            for part, texts, pages in _rows(batch):
                 text, page = model.text.logit(texts).astype(float), model.page.logit(pages).astype(float)
                 score = _sigmoid(model.combine[0] * text + model.combine[1] * page + model.combine[2])
-                columns = [ids, pa.array(_sigmoid(text)), pa.array(_sigmoid(page)), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_score", "page_score", "score"])
+                columns = [*(part.column(c) for c in carry), pa.array(_sigmoid(text)), pa.array(_sigmoid(page)), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, [*carry, "text_score", "page_score", "score"])
 
     return run
 
@@ -236,15 +236,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, unlab
     return co_train(text, page, label, prior)
 
 
-def score_quality(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """``doc_id``, ``held_out``, both calibrated views, ``score`` and ``predicted`` for all rows.
+def score_quality(docs: DataFrame, model: CoTrained, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` (of documents), ``held_out``, both calibrated views, ``score`` and ``predicted`` for all rows.
 
     Whole texts are looked at. Nulls in any column count as empty text, unknown language or
     source, length 0. Repeated rows are scored each; an empty table gives an empty result;
     further columns are not looked at.
     """
-    kinds = "doc_id long, text_score double, page_score double, score double"
-    scored = docs.select(*COLUMNS).mapInArrow(_score(model), kinds)
+    rows = docs.select(*COLUMNS)
+    kept = list(dict.fromkeys([*carry, "doc_id"]))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    kinds += ", text_score double, page_score double, score double"
+    scored = rows.mapInArrow(_score(model, kept), kinds)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     predicted = (F.col("score") >= 0.5).cast("int")
-    return scored.select("doc_id", held.alias("held_out"), "text_score", "page_score", "score", predicted.alias("predicted"))
+    return scored.select(*carry, held.alias("held_out"), "text_score", "page_score", "score", predicted.alias("predicted"))

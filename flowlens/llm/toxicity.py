@@ -342,9 +342,11 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, epoc
     spots = np.array(spots)
     by_text = {i: np.nonzero(spots == i)[0] for i in numbers} if len(numbers) < 200 else _grouped(spots)
     first, second, step = {}, {}, 0
+    parts = max(1, len(numbers) // (96 if len(numbers) >= 1500 else 24))
+    epochs = max(epochs, -(-96 // parts))  # few texts take more rounds
     for epoch in range(epochs):
-        rate = 0.02 / (1 + epoch)
-        for part in np.array_split(rng.permutation(numbers), max(1, len(numbers) // 96)):
+        rate = 0.02 / (1 + 4 * epoch / epochs)
+        for part in np.array_split(rng.permutation(numbers), parts):
             at = np.concatenate([by_text[i] for i in part])
             owner = np.repeat(np.arange(len(part)), [len(by_text[i]) for i in part])
             label = toxic[part].astype(np.float32)
@@ -389,7 +391,7 @@ def _grouped(spots: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(values.tolist(), np.split(order, begins[1:])))
 
 
-def _score(network: Network):
+def _score(network: Network, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(network)
         for batch in batches:
@@ -404,7 +406,7 @@ def _score(network: Network):
             if part:
                 out.append(scorer.scores(part))
             scores = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(scores)], [*carry, "score"])
 
     return run
 
@@ -436,14 +438,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, long
     return train([r.text for r in kept], toxic, prior, seed)
 
 
-def score_toxicity(docs: DataFrame, network: Network) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every whole text.
+def score_toxicity(docs: DataFrame, network: Network, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, ``held_out``, ``score`` and ``predicted`` for every whole text.
 
     A document's score is that of its strongest window of 32 words; windows overlap by half and
     cover the whole text. A null text counts as empty; a text without words is scored as one
     empty window. Repeated rows are scored each; an empty table gives an empty result; other
     columns are not looked at.
     """
-    scored = docs.select("doc_id", "text").mapInArrow(_score(network), "doc_id long, score double")
+    rows = docs.select(*dict.fromkeys([*carry, "doc_id", "text"]))
+    kept = list(dict.fromkeys([*carry, "doc_id"]))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    scored = rows.mapInArrow(_score(network, kept), f"{kinds}, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(*carry, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
