@@ -63,8 +63,8 @@ class WordTokens:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
-        if "\u03a3" not in text:  # the lower case of this letter depends on what follows
-            text = text.lower()
+        # a whole text's lower case of this letter depends on what follows, the tokenizer's does not
+        text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
         return [(text.replace("\n", " ").split(" "), [])]
 
     def _byte_parts(self, text: str) -> list[tuple[list[str], list[str]]]:
