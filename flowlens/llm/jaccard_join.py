@@ -133,21 +133,16 @@ def hot_shingles(rows: DataFrame, total: int) -> np.ndarray:
     return np.sort(np.array([r.gram for r in found.orderBy(F.desc("count")).limit(10_000).collect()], np.int64))
 
 
-def _without(hot: np.ndarray):
-    """Split off the hot shingles of each document."""
+def _postings(hot: np.ndarray):
+    """One row per shingle of a document, marked if the shingle is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             grams = batch.column("grams")
-            flat = grams.flatten().to_numpy()
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(grams.offsets.to_numpy()))
-            is_hot = np.isin(flat, hot)
-            parts = []
-            for mine in (is_hot, ~is_hot):
-                sizes = np.bincount(owner[mine], minlength=batch.num_rows)
-                parts.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat[mine])))
-            columns = [batch.column("doc_id"), batch.column("n"), *parts]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "hot", "cold"])
+            flat = grams.flatten()
+            owner = np.repeat(batch.column("doc_id").to_numpy(), np.diff(grams.offsets.to_numpy()))
+            is_hot = np.isin(flat.to_numpy(), hot)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), flat, pa.array(is_hot)], ["doc_id", "gram", "hot"])
 
     return run
 
@@ -168,12 +163,12 @@ def shared_postings(rows: DataFrame, hot: np.ndarray) -> DataFrame:
 
     The lists of hot shingles never meet in one task; their df stands as 2^40.
     """
-    split = rows.select("doc_id", "n", "grams").mapInArrow(_without(hot), "doc_id long, n long, hot array<long>, cold array<long>")
-    cold = split.select("doc_id", F.explode("cold").alias("gram")).repartition("gram").sortWithinPartitions("gram")
+    postings = rows.select("doc_id", "grams").mapInArrow(_postings(hot), "doc_id long, gram long, hot boolean")
+    cold = postings.where("not hot").select("doc_id", "gram").repartition("gram").sortWithinPartitions("gram")
     counted = cold.mapInArrow(_frequencies, "doc_id long, gram long, df long")
     if not len(hot):
         return counted
-    return counted.union(split.select("doc_id", F.explode("hot").alias("gram"), F.lit(1 << 40).alias("df")))
+    return counted.union(postings.where("hot").select("doc_id", "gram", F.lit(1 << 40).alias("df")))
 
 
 def _bit_filter(ids: DataFrame, count: int) -> np.ndarray:
