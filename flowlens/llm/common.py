@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a worker keeps from one task to the next: vocabularies and a tokenizer's answers.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]):
+    """The object of ``key``, made once per worker; those of other keys are let go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def leave_nothing_kept() -> None:
+    """Let go what tasks of an earlier stage kept in this worker, and give the memory back."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole groups only, from the batches of a partition sorted by ``keys``.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.durable import Scratch
-from flowlens.llm.common import complete_groups, boundaries, prefix_hash, range_hash, text_batches
+from flowlens.llm.common import complete_groups, boundaries, leave_nothing_kept, prefix_hash, range_hash, text_batches
 from flowlens.llm.components import connected_components
 
 #: Bytes and rows that a worker looks at together.
@@ -107,6 +107,7 @@ def _windows(width: int, percent: int):
     """Per document: number of shingles, a digest of the set, and the smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing_kept()
         for batch in _small(batches):
             sets = document_shingles(*text_batches(batch, "text"), width)
             n = np.array([len(s) for s in sets], np.int64)

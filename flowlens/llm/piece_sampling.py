@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import mixed, prefix_hash, range_hash
+from flowlens.llm.common import kept_in_worker, mixed, prefix_hash, range_hash
 
 #: Stands for the model's mark of a word's start, so that the same character in a text stays itself.
 START = 0x110000
@@ -196,14 +196,9 @@ def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, seed: int)
     return out
 
 
-_LOADED: dict[tuple[str, float], Pieces] = {}
-
-
 def pieces_of(path: str, sharpness: float) -> Pieces:
     """The pieces of a model file, loaded once per worker."""
-    if (path, sharpness) not in _LOADED:
-        _LOADED[path, sharpness] = Pieces(path, sharpness)
-    return _LOADED[path, sharpness]
+    return kept_in_worker(("pieces", path, sharpness), lambda: Pieces(path, sharpness))
 
 
 def _encoder(path: str, sharpness: float, seed: int):

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.common import leave_nothing_kept
 from flowlens.llm.toxicity import calibrate
 
 PAIR_BUCKETS = 512
@@ -192,6 +193,7 @@ def _view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(model: CoTrained, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing_kept()
         for batch in batches:
             for part, texts, pages in _rows(batch):
                 text, page = model.text.logit(texts).astype(float), model.page.logit(pages).astype(float)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.durable import Scratch
-from flowlens.llm.common import boundaries, complete_groups, mixed, prefix_hash, range_hash, text_batches
+from flowlens.llm.common import boundaries, complete_groups, leave_nothing_kept, mixed, prefix_hash, range_hash, text_batches
 
 GRAM = 16
 SLICE = 1 << 21
@@ -154,6 +154,7 @@ def _entries(length: int, buckets: int):
         yield _split(spot[rest].astype(np.int64), ASKED, ENTRY, *(x[rest] for x in (gram, digest, doc, number)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing_kept()
         held, size = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()

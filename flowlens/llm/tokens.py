@@ -9,6 +9,8 @@ import unicodedata
 import numpy as np
 import regex
 
+from flowlens.llm.common import kept_in_worker
+
 END = 1
 #: The ways in which the two tokenizers cut text before merging (see their files).
 WORD_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -128,11 +130,6 @@ def encoded(batches, encode_all):
         yield from zip(ids, encode_all(texts))
 
 
-_LOADED: dict[str, WordTokens] = {}
-
-
 def tokens(path: str) -> WordTokens:
     """The tokenizer of a file, loaded once per worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+    return kept_in_worker(("tokens", path), lambda: WordTokens(path))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import prefix_hash, range_hash
+from flowlens.llm.common import leave_nothing_kept, prefix_hash, range_hash
 
 SIDES = ".,;:!?\"'()[]{}|#$%&*-_/<>«»¿¡"
 WINDOW, STRIDE = 32, 16
@@ -393,6 +393,7 @@ def _grouped(spots: np.ndarray) -> dict[int, np.ndarray]:
 
 def _score(network: Network, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing_kept()
         scorer = Scorer(network)
         for batch in batches:
             texts, out, begin, size = batch.column("text"), [], 0, 0
