@@ -29,6 +29,7 @@ class WordTokens:
     Both tokenizers cut a text into runs that never meet in a merge: at blanks, and between
     letters, digits and signs. So the ids of a text are the ids of its runs, and each worker
     asks the library for each run once. What is kept is bounded; when full, it starts anew.
+    Added tokens such as '<|endoftext|>' have one id each and part the text before all else.
     """
 
     def __init__(self, path: str) -> None:
@@ -36,13 +37,15 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.lower = self.tokenizer.normalizer is not None
         self.cut = regex.compile(WORD_RUNS if self.lower else BYTE_RUNS).findall
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # words behind a blank, without it
         self.runs: dict[str, bytes] = {}
         self.signs = dict(zip(".,", self._ask([".", ","])))
+        added = {t.content: number for number, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {a: np.array([added[a]], "<u4").tobytes() for a in sorted(added, key=len, reverse=True)}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -50,6 +53,14 @@ class WordTokens:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if not any(a in t for a in self.added for t in texts):
+            return self._encode_plain(texts)
+        split = [self.at_added(t) for t in texts]  # every other part is an added token
+        found = iter(self._encode_plain([p for parts in split for p in parts[::2]]))
+        return [b"".join([self.added[p] if i % 2 else next(found) for i, p in enumerate(parts)]) for parts in split]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without added tokens."""
         parts = [self._word_parts(t) if self.lower else self._byte_parts(t) for t in texts]
         for known, blank, which in ((self.plain, "", 0), (self.spaced, " ", 1)):
             if len(known) > MOST_WORDS:
