@@ -19,22 +19,42 @@ STAT_BUCKETS, WORD_BUCKETS, GRAM_BUCKETS = 1 << 18, 1 << 12, 1 << 14
 GRAMS = (3, 4, 5)
 PIECE = 1 << 20
 MOST_WORDS = 400_000
+#: Longer words are read in pieces of so many characters, each a step of the windows; neighbours share so many.
+LONGEST, SHARED = 64, 32
 
 
 def words_of(text: str) -> Iterator[list[str]]:
-    """The lower-cased words of a text, a bounded stretch of it at a time."""
+    """The lower-cased words of a text, long ones in pieces, a bounded stretch of it at a time."""
     begin = 0
     while len(text) - begin > PIECE:
         cut = max(text.rfind(" ", begin, begin + PIECE), text.rfind("\n", begin, begin + PIECE))
-        cut = cut if cut > begin else begin + PIECE
-        yield text[begin:cut].lower().split()
-        begin = cut
-    yield text[begin:].lower().split()
+        if cut > begin:
+            yield _in_pieces(text[begin:cut].lower().split())
+            begin = cut
+        else:
+            yield _in_pieces(text[begin : begin + PIECE].lower().split())
+            begin += PIECE - SHARED
+    yield _in_pieces(text[begin:].lower().split())
+
+
+def _in_pieces(words: list[str]) -> list[str]:
+    """Words without the signs around them that are longer than ``LONGEST`` as overlapping pieces, others as they are."""
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for word in words:
+        bare = word if len(word) <= LONGEST else word.strip(SIDES)
+        last = len(bare) - LONGEST
+        if last <= 0:
+            out.append(bare)
+        else:
+            out.extend([bare[min(at, last) : min(at, last) + LONGEST] for at in range(0, last + LONGEST - SHARED, LONGEST - SHARED)])
+    return out
 
 
 def word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words without the signs around them, of their character n-grams, and where each word's n-grams begin."""
-    raw = [(" " + w.strip(SIDES)[:64] + " ").encode() for w in words]
+    raw = [(" " + w.strip(SIDES) + " ").encode() for w in words]
     sizes = np.array([len(r) for r in raw], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))
     sums = prefix_hash(np.frombuffer(b"".join(raw), np.uint8))
@@ -443,7 +463,8 @@ def score_toxicity(docs: DataFrame, network: Network, carry: tuple[str, ...] = (
     """The columns ``carry``, ``held_out``, ``score`` and ``predicted`` for every whole text.
 
     A document's score is that of its strongest window of 32 words; windows overlap by half and
-    cover the whole text. A null text counts as empty; a text without words is scored as one
+    cover the whole text. A word of more than 64 characters, as in text without blanks, is read in
+    overlapping pieces of 64, so windows slide over all of it. A null text counts as empty; a text without words is scored as one
     empty window. Repeated rows are scored each; an empty table gives an empty result; other
     columns are not looked at.
     """
