@@ -39,6 +39,8 @@ GOOD_WORDS = re.compile(r"^(?:article\w*|main|content|post|entry|story|body|text
 #: Scores before any page is seen: of a word by where it stands, and of a tag.
 WORD_PRIOR = {"good": 2.0, "open": 0.7, "bad": -3.0}
 TAG_PRIOR = {"good": -0.05, "open": -0.4, "bad": -1.0}
+#: Score of a bad part inside a good one, whatever it holds: it is left out of the text anyway.
+BAD_INSIDE = -0.05
 
 
 @dataclass
@@ -58,6 +60,9 @@ class Unit:
     kind: str
     where: str
     inside: bool
+    #: Whether it is the first tag of a bad part in a good one, and whether it lies in such a part.
+    opens: bool = False
+    within: bool = False
 
 
 def _part(name: str, attributes: str, kind: str, article: bool) -> tuple[str, str]:
@@ -76,15 +81,16 @@ def _part(name: str, attributes: str, kind: str, article: bool) -> tuple[str, st
 def units(page: str) -> list[Unit]:
     """The texts and tags of a page in order, each with the part of the page that it stands in."""
     out: list[Unit] = []
-    stack: list[tuple[str, str, str, bool]] = [("", "", "open", False)]  # element, label, kind, inside an article
+    # element, label, kind, inside an article, in a bad part of a good one
+    stack: list[tuple[str, str, str, bool, bool]] = [("", "", "open", False, False)]
     at, n = 0, len(page)
 
     def add(text: str) -> None:
-        _, label, kind, article = stack[-1]
+        _, label, kind, article, within = stack[-1]
         if text and not text.isspace():
-            out.append(Unit(text, "", kind, label, article))
+            out.append(Unit(text, "", kind, label, article, False, within))
         elif text:
-            out.append(Unit(" ", "", kind, label, article))
+            out.append(Unit(" ", "", kind, label, article, False, within))
 
     while at < n:
         found = MARKUP.search(page, at)
@@ -97,7 +103,8 @@ def units(page: str) -> list[Unit]:
         if not name:
             continue
         closing, attributes = bool(found[1] or found[4]), found[3] or found[6] or ""
-        out.append(Unit(None, name, stack[-1][2], stack[-1][1], stack[-1][3]))
+        out.append(Unit(None, name, stack[-1][2], stack[-1][1], stack[-1][3], False, stack[-1][4]))
+        good, within = stack[-1][2] == "good", stack[-1][4]
         if closing:
             if name in PARTS and any(s[0] == name for s in stack):
                 while stack[-1][0] != name:
@@ -109,12 +116,15 @@ def units(page: str) -> list[Unit]:
                 continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else n
+            out[-1].opens = good
             if stop > at:
-                out.append(Unit(page[at:stop], "", "bad", name, False))
+                out.append(Unit(page[at:stop], "", "bad", name, False, False, good or within))
             at = stop
         elif name in PARTS and not (attributes.endswith("/") and name not in ("div",)):
             label, kind = _part(name, attributes, stack[-1][2], stack[-1][3])
-            stack.append((name, label, kind, (stack[-1][3] or name in ("article", "main")) and kind != "bad"))
+            out[-1].opens = good and kind == "bad"
+            article = (stack[-1][3] or name in ("article", "main")) and kind != "bad"
+            stack.append((name, label, kind, article, within or out[-1].opens))
     return out
 
 
@@ -131,6 +141,10 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def _score(unit: Unit, weights: Weights) -> float:
+    if unit.opens:
+        return BAD_INSIDE
+    if unit.within:
+        return 0.0
     if unit.text is None:
         return weights.tags.get(f"{unit.kind} {unit.name}", TAG_PRIOR[unit.kind])
     weight = weights.words.get(unit.where, WORD_PRIOR[unit.kind])
@@ -211,7 +225,8 @@ def extract_main_text(pages: DataFrame, weights: Weights) -> DataFrame:
 
     Words score positive and tags negative, by weights for where they stand; one linear scan
     finds the contiguous region of largest sum. Menus, forms, adverts, comments and the like
-    inside the region are left out. Character references are decoded, white space becomes one
+    inside the region are left out; inside an article or content part they cost the same whatever
+    their length. Character references are decoded, white space becomes one
     blank, blocks are joined by one blank. A page that is cut off counts as it stands.
 
     A null or empty page, or one without a positive region, gives an empty text. Repeated rows
