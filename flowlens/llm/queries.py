@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.durable import Scratch
+from flowlens.llm.alignment import align_tokens
 from flowlens.llm.ann import nearest_neighbours
+from flowlens.llm.centroids import cluster_vectors, clustering_sql
 from flowlens.llm.common import table
 from flowlens.llm.embedding_dedup import near_duplicate_vectors
 from flowlens.llm.html_extract import extract_main_text, fit_weights
 from flowlens.llm.jaccard_join import jaccard_components
+from flowlens.llm.line_rules import clean_lines, line_rules_sql
 from flowlens.llm.packing import pack
 from flowlens.llm.piece_sampling import decode_pieces, sample_pieces
 from flowlens.llm.quality import fit_quality, score_quality
@@ -91,3 +94,25 @@ def op9_packing(spark, sf):
 @query
 def op10_embedding_dedup(spark, sf):
     return near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op11_centroid_clustering(spark, sf):
+    return cluster_vectors(table(spark, sf, "embeddings"))[0]
+
+
+LLM_SQL["op11_centroid_clustering"] = clustering_sql()
+
+
+@query
+def op12_token_alignment(spark, sf):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokens(table(spark, sf, "documents"), *paths)[0]
+
+
+@query
+def op13_line_rules(spark, sf):
+    return clean_lines(table(spark, sf, "documents"))
+
+
+LLM_SQL["op13_line_rules"] = line_rules_sql()
