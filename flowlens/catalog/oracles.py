@@ -37,6 +37,14 @@ w AS (SELECT k AS window_index, a AS ws, a + {size} AS we
 pw AS (SELECT w.window_index, p.* FROM w JOIN p ON p.us >= w.ws AND p.us < w.we)"""
 
 
+def _unsized(sql: str) -> str:
+    """The same over packets of which some have no length."""
+    packets = sql.replace("\np AS (", "\np0 AS (", 1)
+    unsized = """p AS (SELECT * REPLACE (CASE WHEN "Source" <> '10.0.0.5' AND frame_len % 3 <> 0 THEN frame_len END AS frame_len) FROM p0),
+b AS ("""
+    return packets.replace("b AS (", unsized, 1)
+
+
 GAPS = """
 g AS (SELECT *, us - lag(us) OVER (PARTITION BY window_index, "Source" ORDER BY us) AS sgap,
              us - lag(us) OVER (PARTITION BY window_index, "Destination" ORDER BY us) AS dgap
@@ -55,13 +63,13 @@ def _gap_columns(tag: str, gap: str) -> str:
 
 SENDERS = f"""
 s AS (SELECT window_index, "Source" AS "IP", count(*) AS "Spc", CAST(sum(frame_len) AS BIGINT) AS "Tss",
-  min(frame_len) AS "Smin", max(frame_len) AS "Smax", CAST(sum(frame_len) AS DOUBLE) / count(*) AS "Savg",
+  min(frame_len) AS "Smin", max(frame_len) AS "Smax", CAST(sum(frame_len) AS DOUBLE) / count(frame_len) AS "Savg",
   {_spread("frame_len")} AS "Svar", {_gap_columns("S", "sgap")}
   FROM g GROUP BY 1, 2)"""
 
 RECEIVERS = f"""
 r AS (SELECT window_index, "Destination" AS "IP", count(*) AS "Rpc", CAST(sum(frame_len) AS BIGINT) AS "Tsr",
-  CAST(sum(frame_len) AS DOUBLE) / count(*) AS "Ravg", {_spread("frame_len")} AS "Rvar", {_gap_columns("R", "dgap")}
+  CAST(sum(frame_len) AS DOUBLE) / count(frame_len) AS "Ravg", {_spread("frame_len")} AS "Rvar", {_gap_columns("R", "dgap")}
   FROM g GROUP BY 1, 2)"""
 
 SENDER_NAMES = ["Spc", "Tss", "Smin", "Smax", "Savg", "Svar", "SITmin", "SITmax", "SITavg", "SITvar"]
@@ -239,6 +247,7 @@ SQL |= {
     "time_diff_destination": _with(*STATS_BASE)
     + 'SELECT window_index, "Destination", parsed_time, dgap / 1e6 AS "Destination_time_diff" FROM g',
     "source_metrics": _with(*STATS_BASE, SENDERS) + "SELECT * FROM s",
+    "source_metrics_missing_lengths": _unsized(_with(*STATS_BASE, SENDERS) + "SELECT * FROM s"),
     "destination_metrics": _with(*STATS_BASE, RECEIVERS) + "SELECT * FROM r",
     "stored_features": _with(*STATS_BASE, SENDERS) + "SELECT * FROM s",
     "edges": _with(EVENT_PACKETS, _windows(STATS), EDGES) + "SELECT * FROM e",
@@ -378,8 +387,8 @@ d AS (SELECT {", ".join(keys)}, 0::BIGINT AS i, 0::BIGINT AS seq, 0::BIGINT AS n
       UNION ALL
       SELECT {", ".join(keys)}, i, seq, n, rate, low, dev, CASE WHEN n >= 30 AND rate + s > low + 3 * dev THEN 1 ELSE 0 END
       FROM (SELECT *, CASE WHEN hit THEN rate ELSE low0 END AS low, CASE WHEN hit THEN s ELSE dev0 END AS dev
-            FROM (SELECT *, n >= 30 AND rate + s <= low0 + dev0 AS hit
-                  FROM (SELECT *, sqrt(greatest(rate * (1 - rate), 0) / n) AS s
+            FROM (SELECT *, coalesce(n >= 30 AND rate + s <= low0 + dev0, false) AS hit
+                  FROM (SELECT *, CASE WHEN rate * (1 - rate) >= 0 THEN sqrt(rate * (1 - rate) / n) END AS s
                         FROM (SELECT {", ".join("o." + k for k in keys)}, o.i, o.seq,
                               CASE WHEN change = 1 THEN 1 ELSE n + 1 END AS n,
                               CASE WHEN change = 1 THEN o.value ELSE rate + (o.value - rate) / (n + 1) END AS rate,
@@ -485,6 +494,7 @@ x AS (SELECT *, (CASE WHEN seq >= 30 THEN 1 ELSE 0 END + CASE WHEN seq >= 500 TH
 
 SQL |= {
     "ddm": _detected("DDM", _ddm(["series"])),
+    "ddm_below_zero": _detected("DDM", _ddm(["series"])).replace("::DOUBLE / count(*) AS value", "::DOUBLE / count(*) * 1.6 - 0.3 AS value"),
     "eddm": _detected("EDDM", EDDM),
     "hddm_a": _detected("HDDM_A", HDDM_A),
     "hddm_w": _detected("HDDM_W", HDDM_W),
@@ -527,3 +537,6 @@ FROM e JOIN w USING (window_index)""",
     + """SELECT series, seq, 'DDM' AS detector, change FROM d1 WHERE i > 0
 UNION ALL SELECT series, seq, 'HDDM_A', change FROM d WHERE i > 0""",
 }
+
+SQL["stream_window_stats_missing_lengths"] = _unsized(SQL["stream_window_stats"])
+SQL["detector_state_calls"] = SQL["stream_detectors"]

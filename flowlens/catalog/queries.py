@@ -284,6 +284,21 @@ def source_metrics(spark, sf):
     return v.rounded(stats.source_metrics(capture.packets, _all(capture)), *SPREADS[0])
 
 
+UNSIZED = "CASE WHEN Source <> '10.0.0.5' AND frame_len % 3 <> 0 THEN frame_len END"
+
+
+def _unsized_capture(spark, sf) -> fe.Capture:
+    """The event packets, about a third without a length, and all that one address sends."""
+    return fe.Capture.open(v.event_packets(spark, sf).withColumn("frame_len", F.expr(UNSIZED)), *v.STATS)
+
+
+@query("source_metrics_missing_lengths")
+def source_metrics_missing_lengths(spark, sf):
+    """Packets without a length count, but play no part in the sizes."""
+    capture = _unsized_capture(spark, sf)
+    return v.rounded(stats.source_metrics(capture.packets, _all(capture)), *SPREADS[0])
+
+
 @query("destination_metrics")
 def destination_metrics(spark, sf):
     capture = v.event_capture(spark, sf, v.STATS)
@@ -515,6 +530,29 @@ def page_hinkley(spark, sf):
     return _detected(spark, sf, "PageHinkley", lambda: PageHinkley(threshold=5.0))
 
 
+@query("ddm_below_zero")
+def ddm_below_zero(spark, sf):
+    """A series that leaves the range of error rates on both sides."""
+    series = v.hourly_series(spark, sf).withColumn("value", F.expr("1.6 * value - 0.3"))
+    return detect(series, ["series"], panel={"DDM": Ddm})
+
+
+@query("detector_state_calls")
+def detector_state_calls(spark, sf):
+    """Three calls with ever more of the series; each goes on from the states of the one before."""
+    from flowlens.plans.adapt import scratch_table
+    from flowlens.plans.detector_store import DetectorStore
+
+    series = v.hourly_series(spark, sf)
+    store = DetectorStore(
+        scratch_table(series, "detector_states"), ["series"], panel={"DDM": Ddm, "HDDM_A": HddmA}
+    )
+    for last in (200, 450):
+        store.detect(series.where(F.col("seq") <= last))
+    store.detect(series)
+    return store.log(spark)
+
+
 @query("adwin")
 def adwin(spark, sf):
     return _detected(spark, sf, "ADWIN", Adwin)
@@ -646,6 +684,16 @@ def stream_window_stats(spark, sf):
     return v.civil(v.rounded(found, "Svar", "Rvar"))
 
 
+@query("stream_window_stats_missing_lengths")
+def stream_window_stats_missing_lengths(spark, sf):
+    from flowlens.streaming.stats import stream_packet_stats
+
+    capture = _unsized_capture(spark, sf)
+    packets = _event_stream(spark, sf).withColumn("frame_len", F.expr(UNSIZED))
+    frame = stream_packet_stats(packets, capture.start, capture.size, capture.offset, f"{DELAY_SECONDS} seconds")
+    return v.civil(v.rounded(_streamed(spark, sf, frame, "stream_unsized_stats"), "Svar", "Rvar"))
+
+
 @query("stream_edges")
 def stream_edges(spark, sf):
     from flowlens.streaming import stats as st
@@ -665,7 +713,9 @@ def stream_inter_arrival(spark, sf):
     capture = v.event_capture(spark, sf, v.STATS)
     closed = capture.end - DELAY_SECONDS * SECOND - capture.size - SECOND
     grid = capture.windows_in_period(capture.start, closed)
-    frame = stream_slot_stats(_event_stream(spark, sf), grid, f"{DELAY_SECONDS} seconds", slot=60 * SECOND)
+    frame = stream_slot_stats(
+        _event_stream(spark, sf), grid, f"{DELAY_SECONDS} seconds", slot=60 * SECOND, block=v.DAY * SECOND
+    )
     slots = _streamed(spark, sf, frame, "stream_slots")
     inside = slots.filter(F.col("last") < grid.end - grid.anchor)
     found = stats.window_stats(stats.pane_stats(inside, grid, 60 * SECOND), grid)
@@ -674,18 +724,24 @@ def stream_inter_arrival(spark, sf):
 
 @query("stream_detectors")
 def stream_detectors(spark, sf):
-    """The hourly series written down as a table and read as a stream."""
+    """The hourly series written down in no order and read as a stream of several micro-batches."""
     from flowlens.plans.adapt import scratch_table
     from flowlens.streaming.detect import stream_detect
 
-    series = v.hourly_series(spark, sf)
+    start = v.event_capture(spark, sf, v.STATS).start
+    hour = F.timestamp_micros(F.lit(start) + F.col("seq") * (v.HOUR * SECOND))
+    series = v.hourly_series(spark, sf).withColumn("hour", hour)
     folder = scratch_table(series, "series")
-    series.write.parquet(folder)
+    # each file holds a part of every day's hours: later micro-batches fill the gaps of the first
+    series.repartitionByRange(3, F.col("seq") % 3).write.parquet(folder)
+    # an element far behind the end lets the watermark pass all others
+    far = spark.range(1).selectExpr("'end' AS series", "100000L AS seq", "1D AS value").withColumn("hour", hour)
+    far.write.mode("append").parquet(folder)
     frame = stream_detect(
-        spark.readStream.schema(series.schema).parquet(folder), ["series"],
-        panel={"DDM": Ddm, "HDDM_A": HddmA},
+        spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 1).parquet(folder), ["series"],
+        "hour", "400 days", panel={"DDM": Ddm, "HDDM_A": HddmA},
     )
-    return _streamed(spark, sf, frame, "stream_detectors")
+    return _streamed(spark, sf, frame, "stream_detectors").where("series <> 'end'")
 
 
 @query("stream_adaptive_run")

@@ -14,7 +14,7 @@ import json
 import math
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
@@ -377,11 +377,13 @@ def fresh(panel: Mapping[str, Callable[[], Detector]]) -> dict[str, Detector]:
     return {name: make() for name, make in panel.items()}
 
 
-def fold(
-    panel: dict[str, Detector], values: Iterable[float]
-) -> list[tuple[str, int]]:
-    """Feed values to every detector; (detector, 0 or 1) per value and detector."""
-    return [(name, int(one.add(float(value)))) for value in values for name, one in panel.items()]
+def _detection_schema(series: DataFrame, keys: Sequence[str], seq: str) -> T.StructType:
+    kinds = {f.name: f.dataType for f in series.schema.fields}
+    return T.StructType(
+        [T.StructField(k, kinds[k]) for k in keys]
+        + [T.StructField(seq, kinds[seq]), T.StructField("detector", T.StringType()),
+           T.StructField("change", T.IntegerType())]
+    )
 
 
 def detect(
@@ -396,30 +398,68 @@ def detect(
     ``keys`` tell the series apart; a new key value starts new detectors. One row comes back
     per element and detector, with ``change`` 0 or 1. Elements without a value are left out.
     """
+    found = detect_onwards(series, keys, None, seq, value, panel)
+    return found.where("state IS NULL").drop("state")
+
+
+def detect_onwards(
+    series: DataFrame,
+    keys: Sequence[str],
+    states: DataFrame | None,
+    seq: str = "seq",
+    value: str = "value",
+    panel: Mapping[str, Callable[[], Detector]] = DETECTORS,
+) -> DataFrame:
+    """:func:`detect` that goes on from the states of an earlier call.
+
+    ``states`` has the rows with a ``state`` of that call's result, or is None at the start. The
+    result has one row per element and detector, and one row with ``state`` (and without
+    ``change``) per series and detector, ``seq`` being the last element it has seen. Elements up
+    to that one are repeats and are left out, so that a call may be made again with more rows.
+    A series without new elements keeps its state; a detector new to the panel starts afresh.
+    """
     keys = list(keys)
-    kinds = {f.name: f.dataType for f in series.schema.fields}
-    schema = T.StructType(
-        [T.StructField(k, kinds[k]) for k in keys]
-        + [T.StructField(seq, kinds[seq]), T.StructField("detector", T.StringType()),
-           T.StructField("change", T.IntegerType())]
+    schema = _detection_schema(series, keys, seq).add("state", T.StringType())
+    number = F.col(value).cast("double")
+    rows = series.where(number.isNotNull() & ~F.isnan(number)).select(
+        *keys, F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("detector"),
+        F.col(seq), number.alias(value),
     )
+    if states is not None:
+        held = states.where("state IS NOT NULL").select(
+            *keys, "state", "detector", F.col(seq).cast(schema[seq].dataType), F.lit(None).cast("double").alias(value)
+        )
+        rows = rows.unionByName(held)
+
+    def closed(key: tuple, detectors: dict[str, Detector], last: dict) -> list[tuple]:
+        return [(*key, last[n], n, None, d.dump()) for n, d in detectors.items() if last.get(n) is not None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, detectors = None, {}
+        current, detectors, before, last = None, {}, {}, {}
         for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False, name=None):
-                key = row[: len(keys)]
+            out = []
+            # columns as Python objects, so that a missing state does not turn numbers into floats
+            for row in zip(*[pdf[c].tolist() for c in pdf.columns]):
+                key, (state, name, at, number) = row[: len(keys)], row[len(keys) :]
                 if key != current:
-                    current, detectors = key, fresh(panel)
-                rows += [(*row[:-1], name, change) for name, change in fold(detectors, row[-1:])]
-            yield pd.DataFrame(rows, columns=schema.names)
+                    out += closed(current, detectors, last) if current is not None else []
+                    current, detectors, before, last = key, fresh(panel), {}, {}
+                if isinstance(state, str):
+                    if name in detectors:
+                        detectors[name].load(state)
+                        before[name] = last[name] = at
+                    continue
+                for name, one in detectors.items():
+                    if name not in before or at > before[name]:
+                        out.append((*key, at, name, int(one.add(number)), None))
+                        last[name] = at
+            yield pd.DataFrame(out, columns=schema.names).astype({"change": "Int32"})
+        if current is not None:
+            yield pd.DataFrame(closed(current, detectors, last), columns=schema.names).astype({"change": "Int32"})
 
     return (
-        series.filter(F.col(value).isNotNull())
-        .select(*keys, seq, F.col(value).cast("double").alias(value))
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, seq)
+        rows.repartition(*keys)
+        .sortWithinPartitions(*keys, F.col("state").isNull(), seq)
         .mapInPandas(run, schema)
     )
 

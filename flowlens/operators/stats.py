@@ -76,6 +76,7 @@ def slot_stats(placed: DataFrame, pane: int, slot: int, roles: Sequence[str] = R
         .groupBy("role", "IP", "rel")
         .agg(*_aggregates(
             n="count(*)",
+            len_n="count(frame_len)",
             len_sum="sum(CAST(frame_len AS long))",
             len_sq="sum(CAST(frame_len AS long) * frame_len)",
             len_min="min(frame_len)",
@@ -86,6 +87,7 @@ def slot_stats(placed: DataFrame, pane: int, slot: int, roles: Sequence[str] = R
         .groupBy("role", "IP", "pane", "slot")
         .agg(*_aggregates(
             n="sum(n)",
+            len_n="sum(len_n)",
             len_sum="sum(len_sum)",
             len_sq="sum(len_sq)",
             len_min="min(len_min)",
@@ -128,6 +130,7 @@ def pane_stats(slots: DataFrame, grid: WindowGrid, slot: int = DEFAULT_SLOT) ->
         .groupBy(*keys, "pane")
         .agg(*_aggregates(
             n="sum(n)",
+            len_n="sum(len_n)",
             len_sum="sum(len_sum)",
             len_sq=_add("len_sq"),
             len_min="min(len_min)",
@@ -157,7 +160,7 @@ def window_stats(panes: DataFrame, grid: WindowGrid, roles: Sequence[str] = ROLE
     spread_panes = panes.select(
         "*", F.explode(grid.windows_at(f"pane * {grid.pane}")).alias("window_index")
     ).selectExpr(
-        "window_index", "role", "IP", "n", "len_sum", "len_sq", "len_min", "len_max", "first", "last",
+        "window_index", "role", "IP", "n", "len_n", "len_sum", "len_sq", "len_min", "len_max", "first", "last",
         f"least(gap_min, {gap}) AS gap_min",
         f"greatest(gap_max, {gap}) AS gap_max",
         f"CAST(gap_sq + coalesce({_square(f'({gap})')}, 0) AS {BIG}) AS gap_sq",
@@ -171,6 +174,7 @@ def window_stats(panes: DataFrame, grid: WindowGrid, roles: Sequence[str] = ROLE
 
         sums |= {
             f"{tag}_n": f"sum({of('n')})",
+            f"{tag}_lens": f"sum({of('len_n')})",
             f"{tag}_len": f"sum({of('len_sum')})",
             f"{tag}_sq": _add(of("len_sq")),
             f"{tag}_min": f"min({of('len_min')})",
@@ -188,7 +192,7 @@ def window_stats(panes: DataFrame, grid: WindowGrid, roles: Sequence[str] = ROLE
 
 def _role_metrics(role: str) -> list[str]:
     tag = PREFIX[role]
-    n, total, gaps = f"{tag}_n", f"{tag}_len", f"({tag}_n - 1)"
+    n, lens, total, gaps = f"{tag}_n", f"{tag}_lens", f"{tag}_len", f"({tag}_n - 1)"
     waited = f"({tag}_last - {tag}_first)"
     gap = [
         f"{tag}_gmin / 1e6D AS {tag}ITmin",
@@ -196,7 +200,8 @@ def _role_metrics(role: str) -> list[str]:
         f"CASE WHEN {gaps} > 0 THEN {waited} / {gaps} / 1e6D END AS {tag}ITavg",
         f"{_spread(gaps, waited, f'{tag}_gsq')} / 1e6D AS {tag}ITvar",
     ]
-    size = [f"{total} / {n} AS {tag}avg", f"{_spread(n, total, f'{tag}_sq')} AS {tag}var"]
+    # packets without a length count as packets, but play no part in the sizes
+    size = [f"try_divide({total}, {lens}) AS {tag}avg", f"{_spread(lens, total, f'{tag}_sq')} AS {tag}var"]
     if role == "Source":
         extremes = [f"{tag}_min AS Smin", f"{tag}_max AS Smax"]
         return [f"{n} AS Spc", f"{total} AS Tss", *extremes, *size, *gap]

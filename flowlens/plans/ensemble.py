@@ -12,6 +12,7 @@ from flowlens.functions.agreement import METRICS, agreement, contingency, long_m
 from flowlens.functions.durable import durable
 from flowlens.operators.concepts import batch_ids, label_concepts, standardize, two_means
 from flowlens.operators.detectors import DETECTORS, Detector, consensus, detect
+from flowlens.plans.detector_store import DetectorStore
 from flowlens.schema import FEATURES
 
 # The name of the one clustering in the panel.
@@ -69,7 +70,10 @@ def prediction_log(
 ) -> DataFrame:
     """One row per (classifier, metric, detector, batch) with ``prediction`` 0 or 1."""
     series = ["classifier", "metric", *keys]
-    found = detect(metrics, series, "batch_id", "value", panel)
+    return _log(detect(metrics, series, "batch_id", "value", panel), keys)
+
+
+def _log(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return found.select(
         "classifier", "metric", "detector", *keys, "batch_id", F.col("change").alias("prediction")
     )
@@ -80,12 +84,25 @@ def fit_predict(
     batches: DataFrame,
     columns: Sequence[str] = tuple(FEATURES),
     panel: Mapping[str, Callable[[], Detector]] = DETECTORS,
+    store: DetectorStore | None = None,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Consensus over all batches and the prediction log."""
+    """Consensus over all batches and the prediction log.
+
+    With a ``store`` (see :func:`ensemble_store`) the detectors go on from the call before, and
+    batches that an earlier call has judged are left out; without one they start afresh.
+    """
     metrics = durable(batch_metrics(reference, batches, columns, **options))
-    log = prediction_log(metrics, panel)
+    log = prediction_log(metrics, panel) if store is None else _log(store.detect(metrics))
     return consensus(log), log
 
 
-__all__ = ["METRICS", "batch_metrics", "consensus", "fit_predict", "prediction_log", "with_epochs"]
+def ensemble_store(folder: str, panel: Mapping[str, Callable[[], Detector]] = DETECTORS) -> DetectorStore:
+    """Detector states of the ensemble, kept in ``folder`` from one :func:`fit_predict` to the next.
+
+    Call its ``reset`` with every new reference.
+    """
+    return DetectorStore(folder, ("classifier", "metric"), "batch_id", "value", panel)
+
+
+__all__ = ["METRICS", "batch_metrics", "consensus", "ensemble_store", "fit_predict", "prediction_log", "with_epochs"]

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from flowlens.functions.timerange import instant, micros_of
 from flowlens.operators.stats import ROLES
 from flowlens.operators.windows import SECOND, WindowGrid
+from flowlens.streaming.keyed import keyed_state
+from flowlens.streaming.slots import SLOT_COLUMNS, SlotBuffer
 
 STREAM_SLOT = SECOND
+STREAM_BLOCK = 10 * SECOND
 
 
 def _duration(micros: int) -> str:
@@ -73,44 +76,24 @@ def stream_slot(grid: WindowGrid, slot: int = STREAM_SLOT) -> int:
     return gcd(grid.pane, slot)
 
 
-def stream_slot_stats(packets: DataFrame, grid: WindowGrid, delay: str, slot: int = STREAM_SLOT) -> DataFrame:
+def stream_slot_stats(
+    packets: DataFrame, grid: WindowGrid, delay: str, slot: int = STREAM_SLOT, block: int = STREAM_BLOCK
+) -> DataFrame:
     """Slot summaries on a stream, in the columns of the batch ones, gaps included.
 
     Written to a table, they go through the same ``pane_stats`` and ``window_stats`` as in
-    batch. State is kept per (role, address, slot), so one flooding address spreads over its
-    slots. Packets of one instant are counted first; the list of instants that is sorted at
-    the end of a slot holds each microsecond once, at most one million in a second.
+    batch. Packets wait in state keyed by (role, address, ``block`` of time) until the watermark
+    has passed their slot, in any order; see :class:`flowlens.streaming.slots.SlotBuffer`. A
+    packet older than the watermark is late and left out. Short blocks spread the packets of a
+    flooding address, long ones make fewer keys of quiet addresses.
     """
+    keyed_state(packets.sparkSession)
     slot = stream_slot(grid, slot)
-    length = F.col("frame_len").cast("long")
-    start = _duration(grid.anchor % slot)
     rows = _late_after(packets, delay).filter(F.col("parsed_time") >= instant(F.lit(grid.anchor))).select(
-        "parsed_time", "frame_len", (micros_of("parsed_time") - grid.anchor).alias("rel"), _sides()
+        "parsed_time", F.col("frame_len").cast("int").alias("frame_len"),
+        (micros_of("parsed_time") - grid.anchor).alias("rel"), _sides(),
     )
-    instants = rows.groupBy(
-        F.window("parsed_time", _duration(slot), _duration(slot), start).alias("w"), "role", "IP", "rel"
-    ).agg(
-        F.count("*").alias("n"), F.sum(length).alias("len_sum"), F.sum(length * length).alias("len_sq"),
-        F.min("frame_len").alias("len_min"), F.max("frame_len").alias("len_max"),
-    )
-    closed = instants.groupBy(
-        F.window(F.window_time("w"), _duration(slot), _duration(slot), start).alias("w"), "role", "IP"
-    ).agg(
-        F.sum("n").alias("n"), F.sum("len_sum").alias("len_sum"), F.sum("len_sq").alias("len_sq"),
-        F.min("len_min").alias("len_min"), F.max("len_max").alias("len_max"),
-        F.min("rel").alias("first"), F.max("rel").alias("last"),
-        F.array_sort(F.collect_list("rel")).alias("times"),
-    )
-    count = F.size("times")
-    later, earlier = F.slice("times", F.lit(2), count), F.slice("times", F.lit(1), count - 1)
-    zero = F.lit(0).cast("long")
-    tied = F.col("n") > count
-    return closed.withColumn("gaps", F.zip_with(later, earlier, lambda b, a: b - a)).select(
-        "role", "IP",
-        F.call_function("div", F.col("first"), F.lit(grid.pane)).alias("pane"),
-        F.call_function("div", F.col("first") % grid.pane, F.lit(slot)).alias("slot"),
-        "n", "len_sum", "len_sq", "len_min", "len_max", "first", "last",
-        F.when(tied, zero).otherwise(F.array_min("gaps")).alias("gap_min"),
-        F.coalesce(F.array_max("gaps"), F.when(tied, zero)).alias("gap_max"),
-        F.aggregate("gaps", zero, lambda total, gap: total + gap * gap).alias("gap_sq"),
+    number = F.call_function("div", F.col("rel"), F.lit(-(-block // slot) * slot)).alias("block")
+    return rows.select("*", number).groupBy("role", "IP", "block").transformWithStateInPandas(
+        SlotBuffer(grid.anchor, grid.pane, slot), f"role int, IP string, {SLOT_COLUMNS}", "append", "eventTime"
     )

@@ -120,3 +120,15 @@ def test_hot_address_is_not_one_task(spark):
     for line in plan.splitlines():
         if "windowspecdefinition" in line and "lag(rel" in line:
             assert "slot" in line.split("windowspecdefinition")[1].split("specifiedwindowframe")[0]
+
+
+def test_missing_lengths_play_no_part_in_sizes(spark):
+    rows = [("a", "b", 1, 100), ("a", "b", 2, None), ("a", "b", 3, 200), ("c", "b", 3, None), ("c", "b", 3, None)]
+    packets = spark.createDataFrame(rows, "Source string, Destination string, s long, frame_len int").select(
+        "Source", "Destination", F.timestamp_seconds("s").alias("parsed_time"), "frame_len"
+    )
+    found = {r.IP: r for r in stats.packet_stats(packets, WindowGrid(0, 10 * SECOND, 10 * SECOND, 1)).collect()}
+    a, b, c = found["a"], found["b"], found["c"]
+    assert (a.Spc, a.Tss, a.Smin, a.Smax, a.Savg) == (3, 300, 100, 200, 150.0) and round(a.Svar, 6) == 70.710678
+    assert (b.Rpc, b.Tsr, b.Ravg) == (5, 300, 150.0)
+    assert (c.Spc, c.Tss, c.Smin, c.Savg, c.Svar, c.SITmax) == (2, None, None, None, None, 0.0)

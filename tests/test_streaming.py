@@ -55,18 +55,20 @@ def test_windows_start_at_the_anchor(spark, tmp_path):
 def test_slots_of_a_stream_are_the_slots_of_a_batch(spark, tmp_path):
     rng = random.Random(3)
     # a third of the packets at few instants of one address
+    base = 10_000 * SECOND  # a stream starts with the watermark at zero
     packets = [
         ("bot" if rng.random() < 0.4 else f"h{rng.randrange(4)}", f"h{rng.randrange(4)}",
-         rng.randrange(20) * SECOND + (0 if rng.random() < 0.5 else rng.randrange(SECOND)), rng.randrange(40, 900))
+         base + rng.randrange(20) * SECOND + (0 if rng.random() < 0.5 else rng.randrange(SECOND)), rng.randrange(40, 900))
         for _ in range(400)
     ]
-    packets.sort(key=lambda p: p[2])
+    unsized = [(a, b, us, None if us % 5 == 0 else length) for a, b, us, length in packets]
+    packets = unsized[::2] + unsized[1::2]  # the second file goes back to the beginning
     folder = str(tmp_path / "in")
     # packets far in the future close all slots before them
-    write_files(spark, folder, [packets[:150], packets[150:], [("end", "end", 500 * SECOND, 1)], [("end", "end", 900 * SECOND, 1)]])
-    grid = WindowGrid(0, 6 * SECOND, 2 * SECOND, 12)
+    write_files(spark, folder, [packets[:200], packets[200:], [("end", "end", base + 500 * SECOND, 1)], [("end", "end", base + 900 * SECOND, 1)]])
+    grid = WindowGrid(base, 6 * SECOND, 2 * SECOND, 12)
     frame = st.stream_slot_stats(stream_of(spark, folder), grid, "30 seconds")
-    streamed = drain(spark, frame, tmp_path, "slots").filter(F.col("last") < grid.end)
+    streamed = drain(spark, frame, tmp_path, "slots").filter(F.col("last") < grid.end - grid.anchor)
     batch_packets = spark.read.parquet(folder).filter("Source <> 'end'")
     batch = stats.slot_stats(stats.positions(batch_packets, grid), grid.pane, SECOND).select(*streamed.columns)
     assert sorted(map(tuple, streamed.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
