@@ -73,12 +73,16 @@ def word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Network:
-    """Weights and the tables of inputs; ``slope`` and ``shift`` calibrate the largest window's logit."""
+    """Weights and the tables of inputs; ``slope`` and ``shift`` calibrate the largest window's logit.
+
+    ``prior``, the share of label 1, is the score of a text without words.
+    """
 
     stats: np.ndarray
     weights: dict[str, np.ndarray]
     slope: float = 1.0
     shift: float = 0.0
+    prior: float = 0.0
 
     def inputs(self, words: list[str], grads: bool = False):
         """The input vectors of distinct words: class statistics and learned embeddings of word and characters."""
@@ -98,6 +102,7 @@ class Network:
             out[some, 3] = np.maximum.reduceat(gram_stat, at)
             pooled = np.add.reduceat(self.weights["gram"][gram_rows], at, axis=0)
             out[some, 4 + EMBED :] = pooled / sizes[some, None]
+        out[[not x for x in words]] = 0  # the empty word stands for padding
         return (out, word_rows, gram_rows, sizes) if grads else out
 
 
@@ -230,6 +235,7 @@ def gradients(network: Network, words: list[str], rows: np.ndarray, inside: np.n
         grads[side + "U"], grads[side + "c"] = d_u, d_projected.sum(axis=0)
         grads[side + "W"] = x.T @ d_projected
         d_x += d_projected @ w_in.T
+    d_x[[not x for x in words]] = 0
     grads["word"], grads["gram"] = np.zeros_like(w["word"]), np.zeros_like(w["gram"])
     np.add.at(grads["word"], word_rows, d_x[:, 4 : 4 + EMBED])
     some = np.maximum(sizes, 1)
@@ -264,6 +270,7 @@ class Scorer:
     def _forget(self) -> None:
         self.known, width = {}, 3 * HIDDEN
         self.tables = [np.zeros((1 << 16, width), np.float32) for _ in range(2)]
+        self.learn({""})  # number 0 is padding, whatever words follow
 
     def learn(self, words: set[str]) -> None:
         """Project the inputs of words not met before."""
@@ -307,7 +314,9 @@ class Scorer:
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return _sigmoid(self.network.slope * self.largest_logits(texts) + self.network.shift)
+        found = _sigmoid(self.network.slope * self.largest_logits(texts) + self.network.shift)
+        wordless = [not any(map(len, words_of(t))) if t[:64].isspace() or not t else False for t in texts]
+        return np.where(wordless, self.network.prior, found)
 
 
 def _statistics(docs: list[set[str]], toxic: np.ndarray) -> np.ndarray:
@@ -370,7 +379,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, epoc
             at = np.concatenate([by_text[i] for i in part])
             owner = np.repeat(np.arange(len(part)), [len(by_text[i]) for i in part])
             label = toxic[part].astype(np.float32)
-            names = list({w for i in at for w in chosen[i]}) or [""]
+            names = ["", *sorted({w for i in at for w in chosen[i]})]  # number 0 is padding
             place = {w: n for n, w in enumerate(names)}
             rows, inside = np.zeros((len(at), WINDOW), np.int64), np.zeros((len(at), WINDOW), bool)
             for n, i in enumerate(at):
@@ -402,6 +411,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, epoc
     share = max(labels.mean(), 1e-6)
     weight = np.where(labels == 1, prior / share, (1 - prior) / max(1 - share, 1e-6))
     network.slope, network.shift = calibrate(logits.astype(float), labels, weight)
+    network.prior = prior
     return network
 
 
@@ -454,7 +464,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, long
     toxic = np.array([r.toxic for r in kept], np.int64)
     if len(set(toxic.tolist())) < 2:  # nothing to tell apart: every text gets the share of label 1
         network = Network(np.zeros(STAT_BUCKETS, np.float32), fresh_weights(seed), 0.0)
-        network.shift = float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
+        network.shift, network.prior = float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), prior
         return network
     return train([r.text for r in kept], toxic, prior, seed)
 
@@ -464,8 +474,8 @@ def score_toxicity(docs: DataFrame, network: Network, carry: tuple[str, ...] = (
 
     A document's score is that of its strongest window of 32 words; windows overlap by half and
     cover the whole text. A word of more than 64 characters, as in text without blanks, is read in
-    overlapping pieces of 64, so windows slide over all of it. A null text counts as empty; a text without words is scored as one
-    empty window. Repeated rows are scored each; an empty table gives an empty result; other
+    overlapping pieces of 64, so windows slide over all of it. A null text counts as empty; a text without words gets the
+    share of label 1 as its score, whatever stands beside it. Repeated rows are scored each; an empty table gives an empty result; other
     columns are not looked at.
     """
     rows = docs.select(*dict.fromkeys([*carry, "doc_id", "text"]))

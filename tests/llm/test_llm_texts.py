@@ -34,7 +34,6 @@ def text_rows(spark, texts):
 
 def whole(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
@@ -138,6 +137,12 @@ def test_repeats_against_all_windows(spark, length):
     assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(rows)
     assert sum(v[1] for v in want.values()) > 1000
     assert remove_repeats(text_rows(spark, texts).limit(0)).count() == 0
+    signed = [(-1, "n" * 60 + "same text"), (2, "n" * 60 + "same text"), (None, "n" * 60), (None, None), (2**62, "n" * 60)]
+    found = {}
+    for r in remove_repeats(spark.createDataFrame(signed, "doc_id long, text string"), length, with_text=True).collect():
+        found.setdefault(r.doc_id, []).append((r.n_removed, r.n_bytes, hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256))
+    assert found[-1] == [(0, 69, True)] and found[2][0][0] > 0 and found[2**62][0][0] == (60 if length <= 60 else 0)
+    assert sorted(found[None]) == [(0, 0, True), (0, 60, True)]
     with pytest.raises(ValueError):
         remove_repeats(text_rows(spark, texts), 10)
 
@@ -251,7 +256,7 @@ def test_toxicity_on_held_out_rows(spark):
     held = [r for i, r in rows.items() if i < 500 and zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(r.held_out for r in held)
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.8  # 0.75 without any learning
-    assert rows[500].predicted == rows[501].predicted == 0
+    assert rows[500].predicted == rows[501].predicted == 0 and rows[500].score == rows[501].score < 0.5
     none = score_toxicity(docs.limit(0), fit_toxicity(docs.limit(0), labels.limit(0)))
     assert none.count() == 0
 
