@@ -137,11 +137,14 @@ def nearest_neighbours(
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and rows without
     an id, take no part. Vectors of different length never meet. Equal vectors are ranked by id;
-    a repeated id counts once. An empty table gives an empty result; other columns are ignored.
+    a repeated id counts once, with the smallest of its vectors. A query whose buckets hold fewer
+    different rows than it can have neighbours is compared with all rows instead, in blocks. An empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(rows.sparkSession, "nearest")
     given = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("ask"))
-    good = given.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
+    good = given.where(F.col("id").isNotNull() & usable(F.col("v")))
+    good = good.groupBy("id").agg(F.min("v").alias("v"), F.max("ask").alias("ask")).withColumn("dim", F.size("v"))
+    good = scratch.keep(good)
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     norm = float(np.sqrt(good.agg(F.max(square)).first()[0] or 1.0))
     kind = good.schema["v"].dataType.simpleString()
@@ -166,11 +169,33 @@ def nearest_neighbours(
     left = left.withColumn("qb", F.explode(F.expr("sequence(0, nq - 1)"))).withColumn("ask", F.lit(False))
     right = asked.join(sizes, bucket).withColumn("qb", F.expr("cast(pmod(xxhash64(id), nq) as int)"))
     right = right.withColumn("rb", F.explode(F.expr("sequence(0, nr - 1)"))).withColumn("ask", F.lit(True))
-    keys = [*bucket, "rb", "qb"]
+    found = scratch.keep(_ranked(left, right, k))
+    # queries that found fewer rows than there are (up to k): against all rows of their length
+    there = good.groupBy("dim").agg((F.least(F.count("*") - 1, F.lit(k))).alias("need"), F.count("*").alias("n"))
+    met = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("met"))
+    short = good.where("ask").join(there, "dim").join(met, "id", "left").where("coalesce(met, 0) < need")
+    short = scratch.keep(short.select("id", "v", "dim", "n"))
+    blocks = short.groupBy("dim").agg(F.first("n").alias("n"), F.count("*").alias("m")).select(
+        "dim", F.lit(-1).alias("tab"), F.lit(0).cast("long").alias("key"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("nr"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nq"),
+    )
+    if not short.isEmpty():
+        left = good.select("id", "v", "dim").join(blocks, "dim")
+        left = left.withColumn("rb", F.expr("cast(pmod(xxhash64(id), nr) as int)"))
+        left = left.withColumn("qb", F.explode(F.expr("sequence(0, nq - 1)"))).withColumn("ask", F.lit(False))
+        right = short.drop("n").join(blocks, "dim").withColumn("qb", F.expr("cast(pmod(xxhash64(id), nq) as int)"))
+        right = right.withColumn("rb", F.explode(F.expr("sequence(0, nr - 1)"))).withColumn("ask", F.lit(True))
+        again = short.select(F.col("id").alias("query_id"))
+        found = found.join(again, "query_id", "left_anti").unionByName(_ranked(left, right, k))
+    return found.select("query_id", "rank", F.col("id").alias(row_id), "score")
+
+
+def _ranked(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of the rows that each query meets in its tiles."""
+    keys = ["dim", "tab", "key", "rb", "qb"]
     columns = ["id", "v", "ask", *keys]
-    met = left.select(*columns).union(right.select(*columns)).repartition(*keys).sortWithinPartitions(*keys)
+    met = rows.select(*columns).union(queries.select(*columns)).repartition(*keys).sortWithinPartitions(*keys)
     best = met.mapInArrow(_nearest(k), "query_id long, id long, score double")
     best = best.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(row_id), "score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
