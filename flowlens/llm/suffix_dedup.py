@@ -131,7 +131,7 @@ def _split(buckets: np.ndarray, kind: int, sizes: tuple[int, ...], *columns: np.
 
 def _classes(gram, digest, doc) -> tuple[np.ndarray, np.ndarray]:
     """Order of entries by minimizer, run and document, and for each its class's smallest document."""
-    order = np.lexsort((doc, digest, gram))
+    order = np.lexsort((doc.view(np.int64), digest, gram))
     gram, digest, doc = gram[order], digest[order], doc[order]
     new = np.ones(len(order), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (digest[1:] != digest[:-1])
@@ -383,8 +383,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     distinct run. Entries are packed, some 25 bytes a run of 18 windows on average.
 
     A null text counts as empty. Rows of one doc_id must hold one text; repeated rows do not
-    remove each other and come out as often as they went in. Rows with a null doc_id are
-    dropped. Texts under ``length`` bytes stay whole. An empty table gives an empty result.
+    remove each other and come out as often as they went in. Rows with a null doc_id have no
+    order: they lose nothing and take nothing from others. Texts under ``length`` bytes stay whole. An empty table gives an empty result.
     ``length`` is from 17 to 79.
     """
     if not GRAM < length < GRAM + 64:
@@ -404,4 +404,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     last = runs.mapInArrow(_last_digit(length, buckets), BLOBS)
     known = second.where(F.col("kind") == KNOWN).union(last)
     kinds = RESULT + (", text string" if with_text else "")
-    return _met(known, texts).mapInArrow(_removed(length, with_text), kinds)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    unordered = docs.where("doc_id IS NULL").select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"),
+        F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
+        F.sha2(text.cast("binary"), 256).alias("kept_sha256"), *([text.alias("text")] if with_text else []),
+    )
+    return _met(known, texts).mapInArrow(_removed(length, with_text), kinds).unionByName(unordered)
