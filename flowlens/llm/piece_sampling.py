@@ -14,7 +14,7 @@ from flowlens.llm.common import kept_in_worker, mixed, prefix_hash, range_hash
 #: Stands for the model's mark of a word's start, so that the same character in a text stays itself.
 START = 0x110000
 MARK = "▁"
-TOGETHER = 1 << 21
+TOGETHER = 1 << 19
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,7 +201,24 @@ def pieces_of(path: str, sharpness: float) -> Pieces:
     return kept_in_worker(("pieces", path, sharpness), lambda: Pieces(path, sharpness))
 
 
-def _encoder(path: str, sharpness: float, seed: int):
+def piece_bytes(path: str) -> list[bytes]:
+    """What each piece of a model file stands for, which is all that decoding needs."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [
+        bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i)
+        else b"" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+        else model.id_to_piece(i).replace(MARK, " ").encode()
+        for i in range(model.get_piece_size())
+    ]
+
+
+def _decoded(ids: np.ndarray, table: list[bytes]) -> str:
+    return b"".join(map(table.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
+
+
+def _encoder(path: str, sharpness: float, seed: int, decode: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path, sharpness)
 
@@ -209,7 +226,11 @@ def _encoder(path: str, sharpness: float, seed: int):
             ids = sample_texts(texts, part.column("key").to_numpy(), pieces, seed)
             sizes = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids)))
-            return pa.RecordBatch.from_arrays([*part.columns[1:], listed], [*part.schema.names[1:], "ids"])
+            columns, names = [*part.columns[1:], listed], [*part.schema.names[1:], "ids"]
+            if decode:
+                columns.append(pa.array([_decoded(x, pieces.bytes) for x in ids], pa.string()))
+                names.append("decoded")
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             begin, texts, held = 0, [], 0
@@ -225,18 +246,17 @@ def _encoder(path: str, sharpness: float, seed: int):
 
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces_of(path, 1.0).bytes.__getitem__
+        table = kept_in_worker(("piece bytes", path), lambda: piece_bytes(path))
         for batch in batches:
-            texts = []
-            for ids in batch.column("ids"):
-                whole = b"".join(map(table, ids.values.to_numpy().tolist())) if ids.is_valid else b""
-                texts.append(whole[1:].decode("utf-8", "replace"))
+            texts = [_decoded(ids.values.to_numpy(), table) if ids.is_valid else "" for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
 
 
-def sample_pieces(docs: DataFrame, model: str, key: Column | None = None, sharpness: float = 1.0, seed: int = 17) -> DataFrame:
+def sample_pieces(
+    docs: DataFrame, model: str, key: Column | None = None, sharpness: float = 1.0, seed: int = 17, decode: bool = False
+) -> DataFrame:
     """``doc_id``, ``text`` and a sampled segmentation ``ids`` of every whole text.
 
     Forward filtering sums the weights of all ways to each position of a word, backward
@@ -247,10 +267,13 @@ def sample_pieces(docs: DataFrame, model: str, key: Column | None = None, sharpn
 
     A null or empty text has no ids. Rows of equal key and text get equal ids. A null key counts
     as one of its own. An empty table gives an empty result; other columns are not looked at.
+    ``decode`` adds what :func:`decode_pieces` gives, from the same worker.
     """
     mark = F.xxhash64(F.col("doc_id") if key is None else key).alias("key")
-    kinds = "doc_id long, text string, ids array<int>"
-    return docs.select(mark, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(model, sharpness, seed), kinds)
+    kinds = "doc_id long, text string, ids array<int>" + (", decoded string" if decode else "")
+    return docs.select(mark, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        _encoder(model, sharpness, seed, decode), kinds
+    )
 
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:

@@ -19,7 +19,7 @@ from flowlens.llm.html_extract import extract_main_text, fit_weights
 from flowlens.llm.jaccard_join import jaccard_components
 from flowlens.llm.line_rules import clean_lines, line_rules_sql
 from flowlens.llm.packing import pack
-from flowlens.llm.piece_sampling import decode_pieces, sample_pieces
+from flowlens.llm.piece_sampling import sample_pieces
 from flowlens.llm.quality import fit_quality, score_quality
 from flowlens.llm.suffix_dedup import remove_repeats
 from flowlens.llm.token_binary import read_token_file, write_token_file
@@ -37,7 +37,7 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 @query
 def op1_sentencepiece(spark, sf):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = decode_pieces(sample_pieces(table(spark, sf, "documents"), model), model)
+    rows = sample_pieces(table(spark, sf, "documents"), model, decode=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
