@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,20 @@ CHUNK = 1 << 21
 MOST_KEPT = 500_000
 #: Groups with more pairs than this are counted id by id before they are paired.
 SMALL_GROUP = 1 << 12
+#: Above every pair's code, so that a document's number and a code make one integer.
+SPAN = 1 << 32
+#: So many words are shown to the libraries in one line.
+LINE = 512
 #: Both tokenizers end a token before a blank or line feed that follows a visible character.
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
-ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
+ODD_SPACE = re.compile(r"[^\S \n]")
+
+
+def odd(text: str) -> bool:
+    """Whether a text has white space other than single blanks and line feeds between words."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
+        return True
+    return not text.replace("\n", "").isprintable() and ODD_SPACE.search(text) is not None
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -63,80 +75,94 @@ class TokenPair:
             is_byte = self.b.is_byte(number)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if is_byte else piece.replace(MARK, " ").encode())
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.begins = np.array([x[:1] in (b" ", b"\n") for x in self.bytes])
         self.mark = self.base + self.b.piece_to_id(MARK)
         visible = [p.lstrip(MARK) for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         # words are independent if no piece goes on behind a visible character into the next word
         self.apart = not any(MARK in p or " " in p or "\n" in p for p in visible)
-        # a sign behind letters is a token of its own in the first tokenizer; in the second by this
-        self.signs_apart = not any(re.search(r"[^\W\d_][.,]", p) for p in visible)
-        self.signs = {s: self._ask([s], [s], skip=1)[0] for s in ".,"} if self.signs_apart else {}
         self.words: dict[str, tuple[bytes, bytes] | None] = {}
         self.odd: dict[str, tuple[bytes, bytes] | None] = {}
+        signs = ",|;"
+        #: Ids as they are written, by 3 * id and the sign behind them.
+        self.written = [f"{i - self.base if i >= self.base else i}{x}" for i in range(len(self.bytes)) for x in signs]
 
-    def _ask(self, chunks: list[str], texts: list[str], skip: int = 0) -> list[tuple[bytes, bytes]]:
-        """Both libraries' ids; ``texts`` go to the second, whose first ``skip`` pieces are left out."""
+    def _ask(self, chunks: list[str], texts: list[str], skip: int = 0) -> list[tuple[bytes, bytes] | None]:
+        """Both libraries' ids; ``texts`` go to the second, whose first ``skip`` pieces are left out.
+
+        None where the bytes of the tokens are not those of the chunk.
+        """
         first = [g.ids for g in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         second = self.b.encode(texts, num_threads=1)
-        return [
-            (np.array(a, "<i4").tobytes(), (np.array(b[skip:], "<i4") + self.base).astype("<i4").tobytes())
-            for a, b in zip(first, second)
-        ]
-
-    def _right(self, chunk: str, ids: tuple[bytes, bytes]) -> bool:
-        want = chunk.encode()
-        return all(b"".join(map(self.bytes.__getitem__, np.frombuffer(x, "<i4").tolist())) == want for x in ids)
+        out: list[tuple[bytes, bytes] | None] = []
+        of_a, of_b = self.bytes.__getitem__, self.bytes[self.base :].__getitem__
+        for chunk, a, b in zip(chunks, first, second):
+            want, b = chunk.encode(), b[skip:] if skip else b
+            right = b"".join(map(of_a, a)) == want and b"".join(map(of_b, b)) == want
+            out.append((array("i", a).tobytes(), array("i", [self.base + x for x in b]).tobytes()) if right else None)
+        return out
+
+    def _learn_plain(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The ids of chunks of one blank or line feed and visible characters each.
+
+        Many chunks behind one another are a text like any other, in which every chunk's first
+        token is told by its first byte. So the libraries see lines of chunks, not each alone.
+        """
+        lines = [chunks[i : i + LINE] for i in range(0, len(chunks), LINE)]
+        texts = [" a" + "".join(line) for line in lines]
+        second = self.b.encode([t[1:] for t in texts], num_threads=1)
+        first = [g.ids for g in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[tuple[bytes, bytes] | None] = []
+        for line, text, *sides in zip(lines, texts, first, second):
+            want, parts = text.encode(), []
+            for ids, base in zip(sides, (0, self.base)):
+                ids = np.array(ids, "<i4") + np.int32(base)
+                cuts = np.nonzero(self.begins[ids])[0]
+                if len(cuts) != len(line) + 1 or b"".join(map(self.bytes.__getitem__, ids.tolist())) != want:
+                    break
+                raw, at = ids.tobytes(), (cuts * 4).tolist() + [4 * len(ids)]
+                parts.append([raw[x:y] for x, y in zip(at[1:], at[2:])])
+            out += zip(*parts) if len(parts) == 2 else self._learn(line)
+        return out
 
     def _learn(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
         """The ids of chunks, each a blank or line feed and what follows; None where bytes differ."""
         out: list[tuple[bytes, bytes] | None] = [None] * len(chunks)
-        stems: dict[str, list[tuple[int, str]]] = {}
-        blank, line = [], []
-        for i, chunk in enumerate(chunks):
-            if chunk[-1:] in self.signs and chunk[1:-1].isalpha() and chunk[0] == " ":
-                stems.setdefault(chunk[:-1], []).append((i, chunk[-1]))
-            elif chunk[0] == "\n":
-                line.append(i)
-            elif chunk != " ":
-                blank.append(i)
-            else:
-                out[i] = (self._ask([" "], [""])[0][0], np.array([self.mark], "<i4").tobytes())
-        for numbers, skip in ((blank, 0), (line, 1)):
-            asked = [chunks[i] for i in numbers]
-            for i, ids in zip(numbers, self._ask(asked, [c[1 - skip :] for c in asked], skip)):
+        for skip in (0, 1):
+            some = [i for i, c in enumerate(chunks) if (c[0] == "\n") == skip and c != " "]
+            asked = [chunks[i] for i in some]
+            for i, ids in zip(some, self._ask(asked, [c[1 - skip :] for c in asked], skip)):
                 out[i] = ids
-        asked = list(stems)
-        for stem, ids in zip(asked, self._ask(asked, [s[1:] for s in asked])):
-            for i, sign in stems[stem]:
-                out[i] = tuple(x + y for x, y in zip(ids, self.signs[sign]))
-        return [ids if self._right(c, ids) else None for c, ids in zip(chunks, out)]
+        if " " in chunks:
+            ids = self.a.encode(" ", add_special_tokens=False).ids
+            out[chunks.index(" ")] = (array("i", ids).tobytes(), array("i", [self.mark]).tobytes())
+        return out
 
-    def _known(self, parts: list[list[str]], known: dict, full) -> None:
+    def _known(self, parts: list[list[str]], known: dict, plain: bool) -> None:
         if len(known) > MOST_KEPT:
             known.clear()
         fresh = list({w for part in parts for w in part}.difference(known))
         for begin in range(0, len(fresh), 1 << 14):
             some = fresh[begin : begin + (1 << 14)]
-            known.update(zip(some, self._learn([full(w) for w in some])))
+            if plain:
+                known.update(zip(some, self._learn_plain([w if w[0] == "\n" else " " + w for w in some])))
+            else:
+                known.update(zip(some, self._learn(some)))
 
     def _whole(self, text: str) -> tuple[bytes, bytes]:
         """The ids of a text as the libraries see it; none if their bytes are not the text's."""
-        ids = self._ask([" " + text], [text])[0]
-        return ids if self._right(" " + text, ids) else (b"", b"")
+        return self._ask([" " + text], [text])[0] or (b"", b"")
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """The ids of each text by both tokenizers; none where a text is empty or its bytes change."""
-        plain, odd = [], []
+        plain, unusual = [], []
         for i, text in enumerate(texts):
             if text and self.apart:
-                (odd if ODD.search(text) else plain).append(i)
+                (unusual if odd(text) else plain).append(i)
         words = [texts[i].replace("\n", " \n").split(" ") for i in plain]
-        chunks = [CUT.split(" " + texts[i]) for i in odd]
+        chunks = [CUT.split(" " + texts[i]) for i in unusual]
         a, b = [b""] * len(texts), [b""] * len(texts)
-        for numbers, parts, known, full in (
-            (plain, words, self.words, lambda w: w if w[0] == "\n" else " " + w),
-            (odd, chunks, self.odd, str),
-        ):
-            self._known(parts, known, full)
+        for numbers, parts, known in ((plain, words, self.words), (unusual, chunks, self.odd)):
+            self._known(parts, known, known is self.words)
             for i, part in zip(numbers, parts):
                 found = list(map(known.__getitem__, part))
                 if None in found:
@@ -176,20 +202,22 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, roots: np.ndarray) -> np
         leaves.append(now[single])
         now = now[~single]
         middle = (now[:, 0] + now[:, 1] - 2) // 2
-        cut_a, cut_b = np.full(len(now), -1), np.full(len(now), -1)
-        seeking, ring = np.arange(len(now)), (0, 0)
+        found = np.searchsorted(ends_b, ends_a[middle])
+        hit = ends_b[found] == ends_a[middle]
+        cut_a, cut_b = np.where(hit, middle, -1), np.where(hit, found, -1)
+        seeking, ring = np.nonzero(~hit & (now[:, 1] - now[:, 0] > 2))[0], (1, 2)
         while len(seeking):
             near, far = ring
             at = middle[seeking]
             lowest, highest = now[seeking, 0], now[seeking, 1] - 2  # the last end is no cut
             below = np.maximum(at - near - lowest + 1, 0).clip(max=far - near + 1)
-            above = np.maximum(highest - at - near + 1, 0).clip(max=far - near + 1) * (near > 0)
+            above = np.maximum(highest - at - near + 1, 0).clip(max=far - near + 1)
             owner, place = spread(below + above)
             low = place < below[owner]
             distance = near + np.where(low, place, place - below[owner])
             place = at[owner] + np.where(low, -distance, distance)
             found = np.searchsorted(ends_b, ends_a[place])
-            hit = np.nonzero(ends_b[np.minimum(found, len(ends_b) - 1)] == ends_a[place])[0]
+            hit = np.nonzero(ends_b[found] == ends_a[place])[0]
             order = hit[np.lexsort((distance[hit], owner[hit]))]
             first = np.ones(len(order), bool)
             first[1:] = owner[order[1:]] != owner[order[:-1]]
@@ -214,23 +242,21 @@ def linked(a: np.ndarray, b: np.ndarray, groups: np.ndarray, doc_of: np.ndarray,
     small = n_a * n_b <= SMALL_GROUP
     owner, place = spread((n_a * n_b)[small])
     at = groups[small]
-    high = a[at[owner, 0] + place // n_b[small][owner]].astype(np.int64)
-    low = b[at[owner, 2] + place % n_b[small][owner]]
-    docs, codes, times = [doc_of[small][owner]], [high * width + low], [np.ones(len(owner), np.int64)]
-    for group, doc in zip(groups[~small], doc_of[~small]):
-        (ids_a, of_a), (ids_b, of_b) = (
-            np.unique(x, return_counts=True) for x in (a[group[0] : group[1]], b[group[2] : group[3]])
-        )
-        codes.append((ids_a.astype(np.int64)[:, None] * width + ids_b).ravel())
-        times.append((of_a[:, None] * of_b).ravel())
-        docs.append(np.full(len(codes[-1]), doc))
-    doc, code, n = map(np.concatenate, (docs, codes, times))
-    order = np.lexsort((code, doc))
-    doc, code, n = doc[order], code[order], n[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
-    begins = np.nonzero(new)[0]
-    return doc[begins], code[begins], np.add.reduceat(n, begins) if len(begins) else n
+    pairs = a[at[owner, 0] + place // n_b[small][owner]] * width + b[at[owner, 2] + place % n_b[small][owner]]
+    keys, times = np.unique(doc_of[small][owner] * SPAN + pairs, return_counts=True)
+    if not small.all():
+        more, often = [keys], [times]
+        for group, doc in zip(groups[~small], doc_of[~small]):
+            (ids_a, of_a), (ids_b, of_b) = (
+                np.unique(x, return_counts=True) for x in (a[group[0] : group[1]], b[group[2] : group[3]])
+            )
+            more.append((ids_a[:, None] * width + ids_b).ravel() + doc * SPAN)
+            often.append((of_a[:, None] * of_b).ravel())
+        keys, inverse = np.unique(np.concatenate(more), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, inverse, np.concatenate(often))
+        times = total
+    return keys // SPAN, keys % SPAN, times
 
 
 class Chunk:
@@ -246,7 +272,7 @@ class Chunk:
         self.groups = shared_cuts(np.cumsum(pair.sizes[a]), np.cumsum(pair.sizes[b]), roots)
         self.doc_of = np.searchsorted(stops_a, self.groups[:, 0], side="right")
         self.n_groups = np.bincount(self.doc_of, minlength=len(texts))
-        self.a, self.b, self.base = a, b - pair.base, pair.base
+        self.a, self.b, self.base, self.names = a, b - pair.base, pair.base, pair.written
         links = linked(self.a, self.b, self.groups, self.doc_of, len(pair.bytes) - pair.base)
         self.doc, code, self.times = links
         self.code, self.at, self.docs = np.unique(code, return_inverse=True, return_counts=True)
@@ -258,14 +284,12 @@ class Chunk:
         n_a, n_b = self.groups[:, 1] - self.groups[:, 0], self.groups[:, 3] - self.groups[:, 2]
         before = np.cumsum(n_a + n_b) - n_a - n_b
         out = np.empty(len(self.a) + len(self.b), np.int64)
-        for ids, sizes, start, behind, within in ((self.a, n_a, before, 1, 0), (self.b, n_b, before + n_a, 2, 0)):
+        for ids, sizes, start, behind in ((self.a, n_a, before, 1), (self.b + self.base, n_b, before + n_a, 2)):
             owner, place = spread(sizes)
             last = place == sizes[owner] - 1
-            out[start[owner] + place] = ids * 3 + np.where(last, behind, within)
-        signs = ",|;"
+            out[start[owner] + place] = ids * 3 + np.where(last, behind, 0)
         stops = np.cumsum(self.n_a + self.n_b).tolist()
-        names: dict[int, str] = {int(x): f"{x // 3}{signs[x % 3]}" for x in np.unique(out)}
-        texts = list(map(names.__getitem__, out.tolist()))
+        texts = list(map(self.names.__getitem__, out.tolist()))
         return ["".join(texts[begin:stop])[:-1] for begin, stop in zip([0, *stops], stops)]
 
 
