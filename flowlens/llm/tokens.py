@@ -18,6 +18,8 @@ BYTE_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Any white space besides the blank and the line feed.
 ODD_SPACE = re.compile(r"[^\S \n]")
 LONGEST_KEPT = 48
+#: So many new words are shown to the library in one line.
+LINE = 512
 MOST_WORDS, MOST_RUNS = 1_200_000, 200_000
 #: So many characters of texts are looked up together.
 TOGETHER = 1 << 20
@@ -42,6 +44,11 @@ class WordTokens:
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # words behind a blank, without it
         self.runs: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Tokens that end a word, or that begin one behind a blank.
+        self.bounds = np.zeros(max(names.values()) + 1, bool)
+        for name, number in names.items():
+            self.bounds[number] = name.endswith("</w>") if self.lower else name.startswith("Ġ")
         self.signs = dict(zip(".,", self._ask([".", ","])))
         added = {t.content: number for number, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = {a: np.array([added[a]], "<u4").tobytes() for a in sorted(added, key=len, reverse=True)}
@@ -101,6 +108,24 @@ class WordTokens:
             out.extend([np.array(g.ids, "<u4").tobytes() for g in got])
         return out
 
+    def _ask_words(self, stems: list[str], blank: str) -> list[bytes]:
+        """The ids of words of letters, asked for in lines of many; their tokens tell where words meet."""
+        if not self.lower and not blank:
+            return self._ask(stems)
+        lines = [stems[i : i + LINE] for i in range(0, len(stems), LINE)]
+        texts = [blank + " ".join(line) for line in lines]
+        out: list[bytes] = []
+        for line, got in zip(lines, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.nonzero(self.bounds[ids])[0]
+            if len(cuts) != len(line):  # a word that the tokenizer cuts itself
+                out += self._ask([blank + w for w in line])
+                continue
+            raw = ids.tobytes()
+            at = [0, *((cuts + 1) * 4).tolist()] if self.lower else [*(cuts * 4).tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
+
     def _learn(self, words: set[str], blank: str, known: dict[str, bytes]) -> None:
         """Add words to ``known``: letters alone, letters and a sign behind them, or anything else."""
         stems, signed, others = set(), [], []
@@ -114,7 +139,7 @@ class WordTokens:
             else:
                 others.append(word)
         fresh = list(stems)
-        known.update(zip(fresh, self._ask([blank + w for w in fresh])))
+        known.update(zip(fresh, self._ask_words(fresh, blank)))
         known.update([(w, known[w[:-1]] + self.signs[w[-1]]) for w in signed])
         if len(self.runs) > MOST_RUNS:
             self.runs.clear()
