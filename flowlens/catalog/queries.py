@@ -760,4 +760,5 @@ def stream_adaptive_run(spark, sf):
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     run.awaitTermination()
+    sink.finish(spark, test.schema)
     return v.civil(sink.statistics(spark))

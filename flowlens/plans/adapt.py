@@ -26,6 +26,7 @@ from flowlens.schema import FEATURES
 
 ROUND = 20
 ON = "window_start"
+STATISTICS = "batch_id long, drift_detection int, batch_start timestamp, batch_end timestamp, accuracy double"
 
 
 @dataclass
@@ -185,13 +186,12 @@ def adapt(
     settings = settings or Adaptive()
     rows = test if stored else in_time_order(test, settings.columns)
     folder = scratch_table(test, "run_statistics")
+    spark = test.sparkSession
+    spark.createDataFrame([], STATISTICS).write.parquet(folder)  # there may be no batch with rows enough
     settings.advance(
         settings.begin(train), rows, settings.grid(rows), lambda s: s.write.mode("append").parquet(folder)
     )
-    kinds = (
-        "batch_id long, drift_detection int, batch_start timestamp, batch_end timestamp, accuracy double"
-    )
-    return test.sparkSession.read.schema(kinds).parquet(folder)
+    return spark.read.schema(STATISTICS).parquet(folder)
 
 
 def drift_regions(statistics: DataFrame, seconds: int = 60) -> DataFrame:

@@ -139,3 +139,34 @@ def test_streaming_sink_equals_batch(spark, tmp_path):
     # a micro-batch that runs again changes nothing
     sink(test.limit(1), 1)
     assert sorted(tuple(r) for r in sink.statistics(spark).collect()) == streamed
+    sink.finish(spark, test.schema)
+    sink.finish(spark, test.schema)
+    assert sorted(tuple(r) for r in sink.statistics(spark).collect()) == batch and sink.late(spark) == 0
+    with pytest.raises(ValueError):
+        sink(test.limit(1), 99)
+
+
+def test_sink_waits_for_late_rows_and_counts_those_too_late(spark, tmp_path):
+    from flowlens.streaming.adapt import AdaptiveSink
+
+    rows = feature_rows(spark, 150, 90)
+    train = in_time_range(rows, 0, 50_000_000, include_upper=False, on="window_start")
+    test = in_time_range(rows, 50_000_000, on="window_start").persist()
+    sink = AdaptiveSink(str(tmp_path / "late"), settings(), delay_seconds=60)
+    sink.begin(train, 50_000_000)
+    assert sink.statistics(spark).count() == 0
+    for number, (low, high, odd) in enumerate([(50, 99, 0), (50, 80, 1), (80, 99, 1), (99, 120, 0), (99, 120, 1), (120, 151, 0)]):
+        part = in_time_range(test, low * 1_000_000, high * 1_000_000, include_upper=False, on="window_start")
+        sink(part if low == 120 else part.where(F.expr(f"unix_seconds(window_start) % 2 = {odd}")), number)
+    sink(test.where("unix_seconds(window_start) < 53"), 6)
+    assert sink.late(spark) == test.where("unix_seconds(window_start) < 53").count()
+    sink.finish(spark, test.schema)
+    batch = sorted(tuple(r) for r in ad.adapt(train, test, settings()).collect())
+    assert sorted(tuple(r) for r in sink.statistics(spark).collect()) == batch
+
+
+def test_no_batch_with_rows_enough(spark):
+    rows = feature_rows(spark, 60, 90)
+    train = in_time_range(rows, 0, 50_000_000, include_upper=False, on="window_start")
+    assert ad.adapt(train, rows.limit(0), settings()).count() == 0
+    assert ad.adapt(train, rows.limit(3), settings(least_rows=1000)).count() == 0
