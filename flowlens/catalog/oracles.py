@@ -540,3 +540,60 @@ UNION ALL SELECT series, seq, 'HDDM_A', change FROM d WHERE i > 0""",
 
 SQL["stream_window_stats_missing_lengths"] = _unsized(SQL["stream_window_stats"])
 SQL["detector_state_calls"] = SQL["stream_detectors"]
+SQL["stream_features"] = _feature_query(
+    _windows(FEATURES, "cs", f"a < ce - {DELAY_US} - {2 * FEATURES[0] * US}")
+)
+
+SQL["packets_csv_bad_lines"] = _with(EVENT_PACKETS) + """SELECT "Protocol", count(*) AS n_lines,
+ count(*) FILTER ("Protocol" IN ('click', 'error', 'signup')) AS n_bad,
+ CAST(sum(frame_len) FILTER ("Protocol" NOT IN ('click', 'error', 'signup')) AS BIGINT) AS good_length
+FROM p GROUP BY 1"""
+
+
+# --- clusters from several starts ---------------------------------------------------------
+
+STARTS, STEPS = 3, 40
+
+
+def _settled() -> str:
+    """Every start of every batch goes on, step by step, with averages over the long table of components."""
+    cells = ", ".join(_F)
+    start = """c0 AS MATERIALIZED (
+  SELECT batch_id, 0 AS start, 0 AS side, i, v FROM far JOIN cell USING (batch_id, r) WHERE side = 0
+  UNION ALL SELECT batch_id, 0, 1, i, v FROM far JOIN cell USING (batch_id, r) WHERE side = 1
+  UNION ALL SELECT batch_id, start, side, i, v FROM ends JOIN cell USING (batch_id, r))"""
+    steps = []
+    for n in range(STEPS):
+        steps.append(f"""
+n{n} AS MATERIALIZED (SELECT batch_id, start, r, CASE WHEN max(d) FILTER (side = 1) < max(d) FILTER (side = 0) THEN 1 ELSE 0 END AS side, min(d) AS d
+  FROM (SELECT batch_id, start, side, r, sum((cell.v - c.v) * (cell.v - c.v)) AS d FROM cell JOIN c{n} c USING (batch_id, i) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+c{n + 1} AS MATERIALIZED (SELECT o.batch_id, o.start, o.side, o.i, coalesce(m.v, o.v) AS v FROM c{n} o LEFT JOIN (
+  SELECT batch_id, start, side, i, avg(v) AS v FROM n{n} JOIN cell USING (batch_id, r) GROUP BY 1, 2, 3, 4) m
+  ON m.batch_id = o.batch_id AND m.start = o.start AND m.side = o.side AND m.i = o.i)""")
+    last = STEPS - 1
+    return f"""
+ur AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM u),
+cell AS MATERIALIZED (SELECT batch_id, r, i, v FROM (SELECT batch_id, r, unnest(range({len(_F)})) AS i, unnest([{cells}]) AS v FROM ur)),
+mean AS (SELECT batch_id, i, avg(v) AS v, var_pop(v) AS s FROM cell GROUP BY 1, 2),
+far0 AS MATERIALIZED (SELECT batch_id, r FROM (SELECT batch_id, r, sum((cell.v - mean.v) * (cell.v - mean.v)) AS d FROM cell JOIN mean USING (batch_id, i) GROUP BY 1, 2)
+  JOIN ur USING (batch_id, r) QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY d DESC, {cells}) = 1),
+far1 AS (SELECT batch_id, r FROM (SELECT cell.batch_id, cell.r, sum((cell.v - o.v) * (cell.v - o.v)) AS d FROM cell JOIN far0 ON cell.batch_id = far0.batch_id
+  JOIN cell o ON o.batch_id = far0.batch_id AND o.r = far0.r AND o.i = cell.i GROUP BY 1, 2)
+  JOIN ur USING (batch_id, r) QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY d DESC, {cells}) = 1),
+far AS (SELECT batch_id, r, 0 AS side FROM far0 UNION ALL SELECT batch_id, r, 1 FROM far1),
+widest AS (SELECT batch_id, i, row_number() OVER (PARTITION BY batch_id ORDER BY s DESC, i) AS start FROM mean QUALIFY start < {STARTS}),
+ends AS MATERIALIZED (
+  SELECT batch_id, start, 0 AS side, r FROM widest JOIN cell USING (batch_id, i) JOIN ur USING (batch_id, r)
+    QUALIFY row_number() OVER (PARTITION BY batch_id, start ORDER BY v, {cells}) = 1
+  UNION ALL
+  SELECT batch_id, start, 1, r FROM widest JOIN cell USING (batch_id, i) JOIN ur USING (batch_id, r)
+    QUALIFY row_number() OVER (PARTITION BY batch_id, start ORDER BY v DESC, {", ".join(c + " DESC" for c in _F)}) = 1),
+{start},{",".join(steps)},
+won AS (SELECT batch_id, start FROM (SELECT batch_id, start, round(sum(d), 6) AS inertia FROM n{last} GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY inertia, start) = 1),
+shape AS (SELECT batch_id, side, list(v ORDER BY i) AS point FROM c{last} JOIN won USING (batch_id, start) GROUP BY 1, 2),
+turned AS (SELECT a.batch_id, b.point < a.point AS swap FROM shape a JOIN shape b ON a.batch_id = b.batch_id AND a.side = 0 AND b.side = 1)"""
+
+
+SQL["two_means_starts"] = _with(CONCEPTS, _settled()) + f"""SELECT batch_id, concept, CASE WHEN swap THEN 1 - side ELSE side END AS cluster, count(*) AS n
+FROM n{STEPS - 1} JOIN won USING (batch_id, start) JOIN ur USING (batch_id, r) JOIN turned USING (batch_id) GROUP BY 1, 2, 3"""

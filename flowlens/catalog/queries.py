@@ -146,6 +146,29 @@ def packets_csv(spark, sf):
     )
 
 
+@query("packets_csv_bad_lines")
+def packets_csv_bad_lines(spark, sf):
+    """A capture in which lines of three protocols are broken, each in another way, read with its bad lines."""
+    from flowlens.plans.adapt import scratch_table
+    from flowlens.schema import PACKET_COLUMNS
+    from flowlens.sources.packets import read_packets_csv
+
+    packets = v.event_packets(spark, sf)
+    folder = scratch_table(packets, "bad_capture")
+    packets.selectExpr(
+        "concat_ws(';', CAST(parsed_time AS string), CAST(CAST(time_epoch AS decimal(16,6)) AS string), Source, Destination, "
+        "CASE WHEN Protocol = 'click' THEN concat(Protocol, ';', frame_len, ';', frame_len) "
+        "WHEN Protocol = 'error' THEN concat(Protocol, ';', frame_len, ' bytes') "
+        "WHEN Protocol = 'signup' THEN Protocol ELSE concat(Protocol, ';', frame_len) END) "
+        f"AS `{';'.join(PACKET_COLUMNS)}`"
+    ).write.option("header", True).option("quote", "\u0000").csv(folder)
+    read = read_packets_csv(spark, folder, bad_lines=True)
+    return read.groupBy("Protocol").agg(
+        F.count("*").alias("n_lines"), F.count("bad_line").alias("n_bad"),
+        F.sum(F.expr("CASE WHEN bad_line IS NULL THEN frame_len END")).alias("good_length"),
+    )
+
+
 @query("packet_ids")
 def packet_ids(spark, sf):
     """Row ids and the global order, both on request only: ids are unique, the order is by time."""
@@ -498,6 +521,14 @@ def two_means_fixed_steps(spark, sf):
     return found.groupBy("batch_id", "concept", "cluster").agg(F.count("*").alias("n"))
 
 
+@query("two_means_starts")
+def two_means_starts(spark, sf):
+    """Clusters from several starts, each run until no centroid moves."""
+    rows = _concepts(spark, sf).persist()
+    found = two_means(rows, v.EMBEDDING_COLUMNS, tolerance=0.0, starts=3)
+    return found.groupBy("batch_id", "concept", "cluster").agg(F.count("*").alias("n"))
+
+
 # --- detectors ---------------------------------------------------------------------------
 
 
@@ -722,6 +753,25 @@ def stream_inter_arrival(spark, sf):
     return v.rounded(found, *SPREADS[0], *SPREADS[1])
 
 
+@query("stream_features")
+def stream_features(spark, sf):
+    """The whole feature table of the stream, for the windows that surely closed before its end."""
+    from flowlens.plans.adapt import scratch_table
+    from flowlens.streaming.features import FeatureSink
+
+    capture = v.event_capture(spark, sf, v.FEATURES)
+    closed = capture.end - DELAY_SECONDS * SECOND - 2 * capture.size
+    grid = capture.windows_in_period(capture.start, closed)
+    folder = scratch_table(capture.packets, "stream_features")
+    sink = FeatureSink(f"{folder}/sink", grid, f"{DELAY_SECONDS} seconds", block=v.DAY * SECOND)
+    run = (
+        sink.parts(_event_stream(spark, sf)).writeStream.foreachBatch(sink)
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return _shown(sink.features(spark))
+
+
 @query("stream_detectors")
 def stream_detectors(spark, sf):
     """The hourly series written down in no order and read as a stream of several micro-batches."""

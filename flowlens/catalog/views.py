@@ -21,7 +21,7 @@ GRAPH = (12 * HOUR, 12 * HOUR)
 FEATURES = (12 * HOUR, 6 * HOUR)
 SHIPMENTS = (30 * DAY, 5 * DAY)
 
-EMBEDDING_COLUMNS = ["f0", "f1", "f2", "f3"]
+EMBEDDING_COLUMNS = [f"f{i}" for i in range(64)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,7 @@ def event_capture(spark: SparkSession, sf_dir: str, geometry: tuple[int, int]) -
 
 
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings cut to four features; labels below 5 are one concept, the others come in three batches."""
+    """Embeddings as features; labels below 5 are one concept, the others come in three batches."""
     parts = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMBEDDING_COLUMNS)]
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", "label", (F.col("vec_id") % 3).alias("batch_id"), *parts

@@ -4,13 +4,15 @@ Two ways lead to the same clusters. When every batch of a round, reference inclu
 most ``TASK_ROWS`` rows, one shuffle brings each batch to a task that runs all steps. Beyond
 that the clustering works like any distributed k-means: rows stay where they are, and one
 step is a scan of them against a small table of centroids that the driver sends out and gets
-back. That table has two centroids per batch, and a round holds at most ``MAX_BATCHES``.
+back. That table has two centroids per batch; callers take the batches in rounds of
+``MAX_BATCHES``, so its size is bounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -18,17 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STEPS = 50
 TOLERANCE = 1e-4
 MAX_BATCHES = 10_000
 TASK_ROWS = 100_000
+#: Inertias that differ by less than this share count as equal.
+LEVEL = 1e-9
 
 
 def batch_ids(batches: DataFrame) -> list[int]:
-    """Numbers of the batches of one round."""
-    found = batches.select("batch_id").distinct().limit(MAX_BATCHES + 1).collect()
-    if len(found) > MAX_BATCHES:
-        raise ValueError(f"compare at most {MAX_BATCHES} batches in one round")
+    """Numbers of the batches, in order. Each gives six numbers, which the detectors read one by one."""
+    found = batches.select("batch_id").where("batch_id IS NOT NULL").distinct().collect()
     return sorted(row.batch_id for row in found)
 
 
@@ -92,13 +93,29 @@ class _Centroids:
         summary = self.rows.groupBy(self.by).agg(
             *[F.avg(c) for c in self.columns], *[F.var_pop(c) for c in self.columns]
         ).collect()
-        if len(summary) > MAX_BATCHES:
-            raise ValueError(f"cluster at most {MAX_BATCHES} batches in one round")
+        self.spread = {r[0]: list(r[n + 1:]) for r in summary}
         first = self._farthest({r[0]: (list(r[1:n + 1]),) for r in summary})
         second = self._farthest({k: (v,) for k, v in first.items()})
         self.points = {k: (first[k], second[k]) for k in first}
         return {r[0]: sum(r[n + 1:]) / n for r in summary}
 
+    def start_along(self, rank: int) -> None:
+        """The lowest and the highest row along the column of ``rank``-th largest variance of each batch."""
+        at = {k: (sorted(range(len(s)), key=lambda i: (-s[i], i))[rank],) for k, s in self.spread.items()}
+        spark = self.rows.sparkSession
+        table = F.broadcast(spark.createDataFrame([(k, *v) for k, v in at.items()], f"`{self.by}` long, _at int"))
+        value = F.element_at(F.array(*self.columns), F.col("_at") + 1)
+        rows = self.rows.select(self.by, *self.columns).join(table, self.by).withColumn("_v", value)
+        found = rows.groupBy(self.by).agg(
+            F.min(F.struct("_v", *self.columns)).alias("low"), F.max(F.struct("_v", *self.columns)).alias("high")
+        )
+        self.points = {r[0]: (list(r["low"])[1:], list(r["high"])[1:]) for r in found.collect()}
+
+    def inertia(self) -> dict[int, float]:
+        """Squared distances of a batch's rows to their nearer centroids, summed."""
+        near = F.least(_distance(self.columns, "_a_"), _distance(self.columns, "_b_"))
+        return {r[0]: r[1] for r in self.joined().groupBy(self.by).agg(F.sum(near)).collect()}
+
     def _farthest(self, points: dict[int, tuple[list[float]]]) -> dict[int, list[float]]:
         """Per batch the row farthest from a point; of equally far ones the smallest in column order.
 
@@ -142,12 +159,32 @@ def _farthest_row(x: np.ndarray, point: np.ndarray) -> np.ndarray:
     return ties[np.lexsort(ties.T[::-1])[0]]
 
 
-def _cluster_one(x: np.ndarray, steps: int, tolerance: float) -> np.ndarray:
-    """All steps on the rows of one batch, by the same rules as the distributed ones."""
+def _starts(x: np.ndarray, starts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows to start from, by the same rules as the distributed ones."""
     a = _farthest_row(x, x.mean(axis=0))
-    b = _farthest_row(x, a)
+    yield a, _farthest_row(x, a)
+    for column in np.argsort(-x.var(axis=0), kind="stable")[: starts - 1]:
+        order = np.lexsort([*x.T[::-1], x[:, column]])
+        yield x[order[0]], x[order[-1]]
+
+
+def _cluster_one(x: np.ndarray, steps: int | None, tolerance: float, starts: int) -> np.ndarray:
+    """All steps on the rows of one batch from every start; the clusters of least inertia."""
+    best = None
+    for a, b in _starts(x, starts):
+        a, b = _settled(x, a, b, steps, tolerance)
+        apart = np.minimum(((x - a) ** 2).sum(axis=1), ((x - b) ** 2).sum(axis=1)).sum()
+        if best is None or apart < best[0] * (1 - LEVEL):
+            best = apart, a, b
+    _, a, b = best
+    if tuple(b) < tuple(a):
+        a, b = b, a
+    return (((x - b) ** 2).sum(axis=1) < ((x - a) ** 2).sum(axis=1)).astype("int32")
+
+
+def _settled(x, a, b, steps: int | None, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     still = x.var(axis=0).mean() * tolerance
-    for _ in range(steps):
+    for _ in range(steps) if steps is not None else count():
         near_b = ((x - b) ** 2).sum(axis=1) < ((x - a) ** 2).sum(axis=1)
         new_a = x[~near_b].mean(axis=0) if not near_b.all() else a
         new_b = x[near_b].mean(axis=0) if near_b.any() else b
@@ -155,18 +192,16 @@ def _cluster_one(x: np.ndarray, steps: int, tolerance: float) -> np.ndarray:
         a, b = new_a, new_b
         if moved <= still:
             break
-    if tuple(b) < tuple(a):
-        a, b = b, a
-    return (((x - b) ** 2).sum(axis=1) < ((x - a) ** 2).sum(axis=1)).astype("int32")
+    return a, b
 
 
 def _cluster_in_tasks(
-    rows: DataFrame, columns: Sequence[str], by: str, steps: int, tolerance: float
+    rows: DataFrame, columns: Sequence[str], by: str, steps: int | None, tolerance: float, starts: int
 ) -> DataFrame:
     columns = list(columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(cluster=_cluster_one(pdf[columns].to_numpy(dtype="float64"), steps, tolerance))
+        return pdf.assign(cluster=_cluster_one(pdf[columns].to_numpy(dtype="float64"), steps, tolerance, starts))
 
     schema = T.StructType([*rows.schema.fields, T.StructField("cluster", T.IntegerType())])
     return rows.groupBy(by).applyInPandas(run, schema)
@@ -176,27 +211,48 @@ def two_means(
     rows: DataFrame,
     columns: Sequence[str],
     by: str = "batch_id",
-    steps: int = MAX_STEPS,
+    steps: int | None = None,
     tolerance: float = TOLERANCE,
     task_rows: int = TASK_ROWS,
+    starts: int = 1,
 ) -> DataFrame:
     """Two clusters per batch, with ``cluster`` 0 or 1 numbered by ascending centroid.
 
-    The start is deterministic. A batch settles when its centroids shift by no more than
-    ``tolerance`` times its mean variance, and takes no part in later steps; a negative
-    tolerance runs all steps. ``rows`` are read several times, so persist them first.
+    Starts are deterministic: the row farthest from the mean and the one farthest from that; with
+    more ``starts`` also the lowest and highest row along the columns of largest variance. The
+    start that ends with the least inertia wins, the earlier one of equal ones. A batch settles
+    when its centroids shift by no more than ``tolerance`` times its mean variance, and takes no
+    part in later steps; ``steps`` bounds them, a negative tolerance runs them all. A row with a
+    missing feature has no cluster. ``rows`` are read several times, so persist them first.
     """
+    if steps is None and tolerance < 0:
+        raise ValueError("a negative tolerance needs a number of steps")
+    starts = min(starts, len(columns) + 1)
+    missing = reduce(lambda x, y: x | y, [F.col(c).isNull() | F.isnan(c) for c in columns])
+    found = _two_means(rows.where(~missing), columns, by, steps, tolerance, task_rows, starts)
+    return found.unionByName(rows.where(missing).withColumn("cluster", F.lit(None).cast("int")))
+
+
+def _two_means(rows, columns, by, steps, tolerance, task_rows, starts) -> DataFrame:
     largest = rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0
     if largest <= task_rows:
-        return _cluster_in_tasks(rows, columns, by, steps, tolerance)
+        return _cluster_in_tasks(rows, columns, by, steps, tolerance, starts)
     centroids = _Centroids(rows, columns, by)
-    spread = centroids.start()
-    active = set(centroids.points)
-    for _ in range(steps):
-        moved = centroids.step(active)
-        active = {k for k in active if moved[k] > spread[k] * tolerance}
-        if not active:
-            break
+    spread, least, best = centroids.start(), {}, {}
+    for number in range(starts):
+        if number:
+            centroids.start_along(number - 1)
+        active = set(centroids.points)
+        for _ in range(steps) if steps is not None else count():
+            moved = centroids.step(active)
+            active = {k for k in active if moved[k] > spread[k] * tolerance}
+            if not active:
+                break
+        if starts > 1:
+            for k, apart in centroids.inertia().items():
+                if k not in least or apart < least[k] * (1 - LEVEL):
+                    least[k], best[k] = apart, centroids.points[k]
+    centroids.points = best or centroids.points
     centroids.points = {k: (min(a, b), max(a, b)) for k, (a, b) in centroids.points.items()}
     cluster = (_distance(columns, "_b_") < _distance(columns, "_a_")).cast("int")
     return centroids.joined().select(*rows.columns, cluster.alias("cluster"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.agreement import METRICS, agreement, contingency, long_metrics
 from flowlens.functions.durable import durable
-from flowlens.operators.concepts import batch_ids, label_concepts, standardize, two_means
+from flowlens.operators.concepts import MAX_BATCHES, batch_ids, label_concepts, standardize, two_means
 from flowlens.operators.detectors import DETECTORS, Detector, consensus, detect
 from flowlens.plans.detector_store import DetectorStore
 from flowlens.schema import FEATURES
@@ -48,13 +48,17 @@ def batch_metrics(
     # kept once each: the reference is repeated for the batches while it is read
     old = reference.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
     new = batches.select("batch_id", *columns).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = label_concepts(old, new, columns, ids)
-    rows = standardize(rows, columns) if scaled else rows
     tables = []
     for name, cluster in classifiers.items():
-        counted = contingency(cluster(rows, columns, **options), ["batch_id"])
-        # four numbers for each batch of the round
-        table = rows.sparkSession.createDataFrame(counted.collect(), counted.schema)
+        cells: list = []
+        for begin in range(0, len(ids), MAX_BATCHES):
+            some = ids[begin : begin + MAX_BATCHES]
+            part = new if len(ids) <= MAX_BATCHES else new.where(F.col("batch_id").between(some[0], some[-1]))
+            rows = label_concepts(old, part, columns, some)
+            rows = standardize(rows, columns) if scaled else rows
+            counted = contingency(cluster(rows, columns, **options), ["batch_id"])
+            cells += counted.collect()  # four numbers for each batch
+        table = rows.sparkSession.createDataFrame(cells, counted.schema)
         measured = long_metrics(agreement(table, ["batch_id"]), ["batch_id"])
         tables.append(measured.select(F.lit(name).alias("classifier"), "batch_id", "metric", "value"))
     old.unpersist()

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
-from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.functions.timerange import from_micros, to_micros
+from flowlens.functions.timerange import to_micros
 
 
 @dataclass(frozen=True)
 class FeatureKey:
-    """What a stored result is kept under: data set, window geometry and requested range."""
+    """What a stored result is kept under: the data set's whole path, window geometry and requested range.
+
+    The path goes in as a digest, the range in microseconds, so no two requests share a partition.
+    """
 
     dataset: str
     window_size: int
@@ -24,15 +27,12 @@ class FeatureKey:
     end: datetime
 
     def partition(self) -> dict[str, str]:
-        def second(moment: datetime) -> str:
-            return from_micros(to_micros(moment)).strftime("%Y-%m-%d--%H-%M-%S")
-
         return {
-            "dataset": PurePath(self.dataset).stem,
+            "dataset": "d" + hashlib.sha256(self.dataset.encode()).hexdigest()[:32],
             "window_size": f"{self.window_size}",
             "window_offset": f"{self.window_offset}",
-            "range_start": second(self.start),
-            "range_end": second(self.end),
+            "range_start": f"{to_micros(self.start)}",
+            "range_end": f"{to_micros(self.end)}",
         }
 
     def folder(self, root: str) -> str:

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.schema import PACKET_COLUMNS, packet_schema
 
 
-def short_names(raw: DataFrame) -> DataFrame:
+def short_names(raw: DataFrame, *others: str) -> DataFrame:
     """Rename the capture columns to their short names."""
-    return raw.select(*[F.col(f"`{name}`").alias(short) for name, short in PACKET_COLUMNS.items()])
+    return raw.select(*[F.col(f"`{name}`").alias(short) for name, short in PACKET_COLUMNS.items()], *others)
+
+
+def good_packets(packets: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """The packets of lines that fit the schema, of a capture read with ``bad_lines``.
+
+    ``observation`` counts lines in the scan that reads them, as ``n_lines`` and ``n_bad``; it
+    has its numbers as soon as an action on the result has run.
+    """
+    if observation is not None:
+        packets = packets.observe(observation, F.count("*").alias("n_lines"), F.count(BAD_LINE).alias("n_bad"))
+    return packets.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
 
 
 def parsed_time(epoch_seconds: Column) -> Column:
@@ -20,16 +31,32 @@ def parsed_time(epoch_seconds: Column) -> Column:
     return F.timestamp_micros((epoch_seconds * 1_000_000).cast("long"))
 
 
+#: The column of a line that does not fit the schema, whole and as it stands.
+BAD_LINE = "bad_line"
+
+
 def read_packets_csv(
-    spark: SparkSession, path: str, row_id: bool = False, ordered: bool = False
+    spark: SparkSession, path: str, row_id: bool = False, ordered: bool = False, bad_lines: bool = False
 ) -> DataFrame:
     """Packets of a ``;``-separated capture with a header.
 
-    ``row_id`` and ``ordered`` are off by default: an id column keeps filters from moving
+    With ``bad_lines`` a column of that kind holds every line with too few or too many fields, or
+    with a field of the wrong type; without it such a line gives what can be read of it. See
+    :func:`good_packets`. ``row_id`` and ``ordered`` are off by default: an id column keeps filters from moving
     below it, and a global sort shuffles the capture though nothing after it needs the order.
     """
-    raw = spark.read.csv(path, header=True, sep=";", schema=packet_schema())
-    packets = short_names(raw).withColumn("parsed_time", parsed_time(F.col("time_epoch")))
+    schema, options = packet_schema(), {}
+    if bad_lines:
+        schema = schema.add(BAD_LINE, "string")
+        # all fields are parsed, or whether a line is bad would depend on the columns a query takes
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE, "columnPruning": False}
+    raw = spark.read.options(**options).csv(path, header=True, sep=";", schema=schema)
+    packets = short_names(raw, BAD_LINE) if bad_lines else short_names(raw)
+    if bad_lines:  # both branches are the line; the condition reads every column
+        line = F.col(BAD_LINE)
+        every = F.xxhash64(*PACKET_COLUMNS.values()) == 0
+        packets = packets.withColumn(BAD_LINE, F.when(every, F.concat(line, F.lit(""))).otherwise(line))
+    packets = packets.withColumn("parsed_time", parsed_time(F.col("time_epoch")))
     if row_id:
         packets = packets.withColumn("id", F.monotonically_increasing_id())
     return packets.orderBy("parsed_time") if ordered else packets

@@ -81,3 +81,28 @@ def test_label_concepts_repeats_the_reference(spark):
 def test_standardize(spark):
     rows = spark.createDataFrame([(0, 1.0, 5.0), (0, 3.0, 5.0)], "batch_id long, x double, y double")
     assert sorted((r.x, r.y) for r in standardize(rows, ["x", "y"]).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_several_starts_find_the_least_inertia_both_ways(spark):
+    rng = random.Random(5)
+    rows = []
+    for batch in range(3):
+        # two clouds, and one row so far out that the farthest pair alone would cut off just that row
+        cloud = [(batch, i % 2, rng.gauss(10.0 * (i % 2), 1), rng.gauss(0, 1)) for i in range(60)]
+        rows += cloud + [(batch, 1, 5.0, 60.0 + batch), (batch, 0, None, 1.0), (batch, 0, float("nan"), 1.0)]
+    table = spark.createDataFrame(rows, "batch_id long, concept int, x double, y double").persist()
+
+    def inertia(found):
+        total = 0.0
+        for batch in range(3):
+            for cluster in (0, 1):
+                mine = [(r.x, r.y) for r in found if r.batch_id == batch and r.cluster == cluster]
+                mean = [sum(v) / len(mine) for v in zip(*mine)]
+                total += sum((x - mean[0]) ** 2 + (y - mean[1]) ** 2 for x, y in mine)
+        return total
+
+    one = two_means(table, ["x", "y"], tolerance=0.0).collect()
+    ways = [two_means(table, ["x", "y"], tolerance=0.0, starts=3, task_rows=n).collect() for n in (1, 10_000)]
+    assert sorted(map(str, ways[0])) == sorted(map(str, ways[1]))
+    assert inertia(ways[0]) <= inertia(one) + 1e-6
+    assert sum(r.cluster is None for r in ways[0]) == 6 and len(ways[0]) == len(rows)

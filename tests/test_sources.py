@@ -90,3 +90,29 @@ def test_stored_features(spark, tmp_path):
     ft.write_features(spark.range(1).toDF("window_index"), root, key(1))
     assert ft.read_features(spark, root, key(1)).count() == 1
     assert ft.read_features(spark, root, key(2)).count() == 5
+
+
+def test_bad_lines_are_kept_and_counted_in_the_scan(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    bad = ["Aug 18;1313657283.0;10.0.0.3;10.0.0.1;TCP;seventy", "Aug 18;1313657284.0;10.0.0.3", "Aug 18;1313657285.0;10.0.0.3;10.0.0.1;TCP;70;more", "no fields at all"]
+    path = write(tmp_path, LINES[:2] + bad + LINES[2:])
+    read = pk.read_packets_csv(spark, path, bad_lines=True)
+    assert sorted(r.bad_line for r in read.where("bad_line IS NOT NULL").select("bad_line", "Source").collect()) == sorted(bad)
+    assert read.agg(F.count("bad_line").alias("n"), F.sum("frame_len").alias("s")).first()["n"] == 4
+    seen = Observation("lines")
+    good = pk.good_packets(read, seen)
+    assert good.exceptAll(pk.read_packets_csv(spark, write(tmp_path, name="good.csv"))).isEmpty() and good.count() == 4
+    assert seen.get == {"n_lines": 8, "n_bad": 4}
+
+
+def test_stored_features_of_one_file_name_in_two_folders(spark, tmp_path):
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    keys = [
+        ft.FeatureKey(path, 30, 5, start, start.replace(microsecond=us))
+        for path in ("/a/capture.csv", "/b/capture.csv") for us in (0, 1)
+    ]
+    root = str(tmp_path / "features")
+    for n, key in enumerate(keys, 1):
+        table = spark.range(n).select(F.col("id").alias("window_index"))
+        assert ft.read_or_compute(spark, root, key, lambda table=table: table).count() == n
