@@ -597,3 +597,14 @@ turned AS (SELECT a.batch_id, b.point < a.point AS swap FROM shape a JOIN shape
 
 SQL["two_means_starts"] = _with(CONCEPTS, _settled()) + f"""SELECT batch_id, concept, CASE WHEN swap THEN 1 - side ELSE side END AS cluster, count(*) AS n
 FROM n{STEPS - 1} JOIN won USING (batch_id, start) JOIN ur USING (batch_id, r) JOIN turned USING (batch_id) GROUP BY 1, 2, 3"""
+
+SQL["user_metrics"] = _with(CONCEPTS, CELLS, AGREEMENT) + """, six AS (SELECT batch_id, acc AS accuracy_score, hom AS homogeneity_score,
+ com AS completeness_score, 2 * hom * com / (hom + com) AS v_measure_score, (pairs - chance) / ((pc + pk) / 2 - chance) AS adjusted_rand_score,
+ (mi - emi) / (norm - emi) AS adjusted_mutual_info_score FROM m),
+pair AS (SELECT l.batch_id, count(*) FILTER (l.concept = r.concept) AS same_concept,
+  count(*) FILTER ((l.f0 > l.f1) = (r.f0 > r.f1)) AS same_cluster,
+  count(*) FILTER (l.concept = r.concept AND (l.f0 > l.f1) = (r.f0 > r.f1)) AS same_both
+  FROM (SELECT *, row_number() OVER () AS k FROM u) l JOIN (SELECT *, row_number() OVER () AS k FROM u) r ON l.batch_id = r.batch_id AND l.k < r.k GROUP BY 1)
+SELECT batch_id, metric, round(value, 6) AS value FROM (UNPIVOT six ON COLUMNS(* EXCLUDE batch_id) INTO NAME metric VALUE value)
+UNION ALL SELECT batch_id, 'fowlkes_mallows', round(same_both / sqrt(same_concept::DOUBLE * same_cluster), 6) FROM pair
+UNION ALL SELECT batch_id, 'n_rows', count(*)::DOUBLE FROM u GROUP BY 1"""

@@ -529,6 +529,19 @@ def two_means_starts(spark, sf):
     return found.groupBy("batch_id", "concept", "cluster").agg(F.count("*").alias("n"))
 
 
+@query("user_metrics")
+def user_metrics(spark, sf):
+    """Two metrics of a user beside the six: the pair-counting Fowlkes-Mallows index, and the rows compared."""
+    own = {
+        "fowlkes_mallows": "(c00 * (c00 - 1D) + c01 * (c01 - 1D) + c10 * (c10 - 1D) + c11 * (c11 - 1D)) / sqrt("
+        "((c00 + c01) * (c00 + c01 - 1D) + (c10 + c11) * (c10 + c11 - 1D))"
+        " * ((c00 + c10) * (c00 + c10 - 1D) + (c01 + c11) * (c01 + c11 - 1D)))",
+        "n_rows": F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11"),
+    }
+    measured = agreement(_rule_table(spark, sf), ["batch_id"], own)
+    return v.rounded(long_metrics(measured, ["batch_id"], list(own)), "value")
+
+
 # --- detectors ---------------------------------------------------------------------------
 
 

@@ -6,9 +6,9 @@ rows themselves are grouped once, whatever the number of metrics.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.special import log_factorial_sql
@@ -44,9 +44,28 @@ _SIDES = {"_a0": "c00 + c01", "_a1": "c10 + c11", "_b0": "c00 + c10", "_b1": "c0
 _CROSS = [("_a0", "_b0", "c00"), ("_a0", "_b1", "c01"), ("_a1", "_b0", "c10"), ("_a1", "_b1", "c11")]
 
 
-def agreement(table: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The six agreement metrics of every group of :func:`contingency`."""
+#: A user's metric: an expression on the four counts, as a column or as SQL text.
+Metric = Column | str
+
+
+def agreement(table: DataFrame, by: Sequence[str], metrics: Mapping[str, Metric] | None = None) -> DataFrame:
+    """The agreement metrics of every group of :func:`contingency`.
+
+    ``metrics`` adds more of them by name, each an expression on the counts ``c00`` to ``c11``.
+    They cost no further pass over rows, and go through the detectors like the others.
+    """
     by = list(by)
+    found = _agreement(table, by)
+    if not metrics:
+        return found
+    clash = set(metrics) & {*METRICS, *by}
+    if clash:
+        raise ValueError(f"names in use: {sorted(clash)}")
+    own = [(F.expr(m) if isinstance(m, str) else m).cast("double").alias(name) for name, m in metrics.items()]
+    return found.join(table.select(*by, *own), by)
+
+
+def _agreement(table: DataFrame, by: list[str]) -> DataFrame:
     mutual = " + ".join(
         f"CASE WHEN {c} > 0 THEN {c} / _n * (ln(_n) + ln({c}) - ln({a}) - ln({b})) ELSE 0D END"
         for a, b, c in _CROSS
@@ -108,7 +127,7 @@ def expected_mutual_info(base: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def long_metrics(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per group and metric."""
-    pairs = ", ".join(f"struct('{m}' AS metric, {m} AS value)" for m in METRICS)
-    return metrics.selectExpr(*by, f"inline(array({pairs}))")
+def long_metrics(metrics: DataFrame, by: Sequence[str], names: Sequence[str] = ()) -> DataFrame:
+    """One row per group and metric: the six, and those of further ``names``."""
+    pairs = [F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("value")) for m in [*METRICS, *names]]
+    return metrics.select(*by, F.inline(F.array(*pairs)))

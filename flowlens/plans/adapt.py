@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.agreement import Metric
 from flowlens.functions.durable import checkpoint_folder, durable
 from flowlens.functions.timerange import in_time_range, instant
 from flowlens.operators.detectors import DETECTORS, Detector, fresh
@@ -78,6 +79,7 @@ class Adaptive:
     least_rows: int = 2
     score_before_refit: bool = False
     scaled: bool = False
+    metrics: Mapping[str, Metric] | None = None
 
     def begin(self, train: DataFrame) -> Epoch:
         """Choose the first model and take the training rows as the first reference."""
@@ -121,7 +123,7 @@ class Adaptive:
 
     def _first_change(self, epoch: Epoch, members: DataFrame, last: int) -> tuple[int | None, int]:
         """First batch with a change, and the last batch looked at. At most ``round_size`` batches."""
-        measured = batch_metrics(epoch.reference, members, self.columns, scaled=self.scaled)
+        measured = batch_metrics(epoch.reference, members, self.columns, scaled=self.scaled, metrics=self.metrics)
         by_batch: dict[int, dict[str, float]] = {}
         for row in measured.collect():
             by_batch.setdefault(row.batch_id, {})[f"{row.classifier}/{row.metric}"] = row.value

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.agreement import METRICS, agreement, contingency, long_metrics
+from flowlens.functions.agreement import METRICS, Metric, agreement, contingency, long_metrics
 from flowlens.functions.durable import durable
 from flowlens.operators.concepts import MAX_BATCHES, batch_ids, label_concepts, standardize, two_means
 from flowlens.operators.detectors import DETECTORS, Detector, consensus, detect
@@ -36,10 +36,14 @@ def batch_metrics(
     columns: Sequence[str] = tuple(FEATURES),
     classifiers: Mapping[str, Callable[..., DataFrame]] = CLASSIFIERS,
     scaled: bool = False,
+    metrics: Mapping[str, Metric] | None = None,
     **options,
 ) -> DataFrame:
     """(classifier, batch_id, metric, value): how far each batch can be told from the reference.
 
+    ``metrics`` adds agreement metrics by name, see :func:`flowlens.functions.agreement.agreement`;
+    ``classifiers`` names the clusterings, functions of rows and columns that add ``cluster``.
+
     Values near 0 (accuracy aside) say that clusters ignore the concept, so nothing changed.
     """
     ids = batch_ids(batches)
@@ -59,7 +63,7 @@ def batch_metrics(
             counted = contingency(cluster(rows, columns, **options), ["batch_id"])
             cells += counted.collect()  # four numbers for each batch
         table = rows.sparkSession.createDataFrame(cells, counted.schema)
-        measured = long_metrics(agreement(table, ["batch_id"]), ["batch_id"])
+        measured = long_metrics(agreement(table, ["batch_id"], metrics), ["batch_id"], list(metrics or ()))
         tables.append(measured.select(F.lit(name).alias("classifier"), "batch_id", "metric", "value"))
     old.unpersist()
     new.unpersist()
