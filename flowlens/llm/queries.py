@@ -21,6 +21,7 @@ from flowlens.llm.line_rules import clean_lines, line_rules_sql
 from flowlens.llm.packing import pack
 from flowlens.llm.piece_sampling import sample_pieces
 from flowlens.llm.quality import fit_quality, score_quality
+from flowlens.llm.sql import jaccard_sql, near_vectors_sql
 from flowlens.llm.suffix_dedup import remove_repeats
 from flowlens.llm.token_binary import read_token_file, write_token_file
 from flowlens.llm.toxicity import fit_toxicity, score_toxicity
@@ -67,6 +68,9 @@ def op5_jaccard_join(spark, sf):
     return jaccard_components(table(spark, sf, "documents"), width=4, percent=85)
 
 
+LLM_SQL["op5_jaccard_join"] = jaccard_sql(4, 85)
+
+
 @query
 def op6_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
@@ -96,6 +100,9 @@ def op10_embedding_dedup(spark, sf):
     return near_duplicate_vectors(table(spark, sf, "embeddings"))
 
 
+LLM_SQL["op10_embedding_dedup"] = near_vectors_sql(0.93)
+
+
 @query
 def op11_centroid_clustering(spark, sf):
     return cluster_vectors(table(spark, sf, "embeddings"))[0]
