@@ -650,31 +650,27 @@ def ensemble_fit_predict(spark, sf):
 
 
 def _labelled(spark, sf) -> DataFrame:
-    """Labelled features without centralities, so that model queries measure models."""
-    capture = v.event_capture(spark, sf, v.FEATURES)
-    grid = _all(capture)
-    filled = win.window_times(fe.fill_missing(stats.packet_stats(capture.packets, grid)), grid)
-    return label_bots(filled, v.BOTS)
-
+    """Labelled features, all of them, written down once: models read them again and again."""
+    from flowlens.functions.durable import durable
 
-PACKET_FEATURES = [c for c in FEATURES if c not in ("in_degree", "out_degree", "centrality", "eigenvector_centrality")]
+    return durable(label_bots(v.event_capture(spark, sf, v.FEATURES).all_samples(), v.BOTS))
 
 
 @query("model_selection")
 def model_selection(spark, sf):
-    rows = _labelled(spark, sf).persist()
-    chosen = select_model(rows, PACKET_FEATURES, time_limit=None, max_candidates=3)
+    rows = _labelled(spark, sf)
+    chosen = select_model(rows, FEATURES, time_limit=None)
     return chosen.predict(rows).select("window_index", "IP", "isBot", "prediction")
 
 
 def _adaptive_parts(spark, sf) -> tuple[DataFrame, DataFrame, ad.Adaptive]:
     """Ten days to learn from, the rest to watch in batches of three days."""
-    rows = _labelled(spark, sf).persist()
+    rows = _labelled(spark, sf)
     start, _ = win.read_bounds(rows, "window_start")
     middle = start + 10 * 24 * v.HOUR * SECOND
     settings = ad.Adaptive(
-        batch_seconds=3 * 24 * v.HOUR, offset_seconds=24 * v.HOUR, columns=PACKET_FEATURES,
-        select=lambda df: select_model(df, PACKET_FEATURES, time_limit=None, max_candidates=1),
+        batch_seconds=3 * 24 * v.HOUR, offset_seconds=24 * v.HOUR,
+        select=lambda df: select_model(df, FEATURES, time_limit=None),
     )
     train = tr.in_time_range(rows, start, middle, include_upper=False, on="window_start")
     return train, tr.in_time_range(rows, middle, on="window_start"), settings

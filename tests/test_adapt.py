@@ -58,6 +58,21 @@ def test_time_limit_still_fits_one(spark):
     assert isinstance(chosen, Selection) and len(chosen.tried) == 1
 
 
+def test_halving_ends_with_the_candidate_that_all_rows_prefer(spark):
+    rng = random.Random(3)
+    # only a tree sees the ring; on few rows it does no better than the others
+    points = [(rng.uniform(-2, 2), rng.uniform(-2, 2)) for _ in range(1500)]
+    rows = spark.createDataFrame([(x, y, int(x * x + y * y < 1.5)) for x, y in points], "x double, y double, isBot int")
+    space = [c for c in candidates() if c.title in ("bayes", "logistic-0", "logistic-0/scaled", "logistic-0.1", "svc", "tree-10")]
+    runs = [
+        select_model(rows.repartition(n), COLUMNS, time_limit=None, space=space, least_rows=100, parallel=n) for n in (1, 3)
+    ]
+    assert runs[0].tried == runs[1].tried and len(runs[0].tried) == len(space)
+    assert {r.name for r in runs} <= {"tree-10", "bayes"} and dict(runs[0].tried)[runs[0].name] > 0.9
+    cut = select_model(rows, COLUMNS, time_limit=0.0, space=space, least_rows=100)
+    assert cut.name == space[0].title and len(cut.tried) == 1
+
+
 def test_single_class_is_learned(spark):
     rows = feature_rows(spark, 10).withColumn("isBot", F.lit(1))
     chosen = select_model(rows, COLUMNS, time_limit=None, max_candidates=1)
