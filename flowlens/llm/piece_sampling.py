@@ -14,7 +14,7 @@ from flowlens.llm.common import kept_in_worker, mixed, prefix_hash, range_hash
 #: Stands for the model's mark of a word's start, so that the same character in a text stays itself.
 START = 0x110000
 MARK = "▁"
-TOGETHER = 1 << 19
+TOGETHER = 1 << 22
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,8 +54,14 @@ class Pieces:
         self.weight[self.byte_ids] = -sharpness * np.log(len(names) + 2.0)
         self.byte_weight = -sharpness * np.log(len(names) + 2.0)
         self.longest = max(sizes)
+        # where the hashes with the same first 22 bits begin, which are hardly ever more than one
+        top = (self.hashes >> np.uint64(42)).astype(np.int64)
         self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+        self.maybe[top] = True
+        self.first = np.zeros(1 << 22, np.uint16 if len(top) < 1 << 16 else np.int32)
+        self.first[top[::-1]] = np.arange(len(top))[::-1]
+        self.depth = int(np.bincount(np.unique(top, return_inverse=True)[1]).max())
+        self.hashes = np.append(self.hashes, np.zeros(self.depth, np.uint64))
 
     def edges(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All edges of the lattices of words in a row: begin, end, piece and log weight.
@@ -70,9 +76,12 @@ class Pieces:
             if not len(at):
                 break
             value = range_hash(sums, at, at + size)
-            likely = np.nonzero(self.maybe[(value >> np.uint64(42)).astype(np.int64)])[0]
-            place = np.minimum(np.searchsorted(self.hashes, value[likely]), len(self.hashes) - 1)
-            right = self.hashes[place] == value[likely]
+            top = (value >> np.uint64(42)).astype(np.int64)
+            likely = np.nonzero(self.maybe[top])[0]
+            place, wanted = self.first[top[likely]].astype(np.int64), value[likely]
+            for more in range(1, self.depth):
+                place += self.hashes[place] < wanted
+            right = np.nonzero(self.hashes[place] == wanted)[0]
             found = at[likely[right]]
             begin.append(found)
             end.append(found + size)
