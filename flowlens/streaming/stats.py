@@ -33,17 +33,28 @@ def _late_after(packets: DataFrame, delay: str) -> DataFrame:
 
 
 def _sliding(anchor: int, size: int, offset: int) -> Column:
-    """Spark's own sliding window, shifted so that windows start at the anchor."""
-    return F.window("parsed_time", _duration(size), _duration(offset), _duration(anchor % offset))
+    """Spark's own sliding window, shifted so that windows start at the anchor.
+
+    Windows with gaps between them are as wide as their offset here; packets of the gaps must
+    have been left out, see :func:`_within`.
+    """
+    return F.window("parsed_time", _duration(max(size, offset)), _duration(offset), _duration(anchor % offset))
+
+
+def _within(packets: DataFrame, anchor: int, size: int, offset: int) -> DataFrame:
+    """Packets that do not lie in a gap between windows."""
+    if offset <= size:
+        return packets
+    return packets.where(F.pmod(micros_of("parsed_time") - anchor, F.lit(offset)) < size)
 
 
-def _placed(closed: DataFrame, anchor: int, offset: int) -> DataFrame:
+def _placed(closed: DataFrame, anchor: int, size: int, offset: int) -> DataFrame:
     """Windows that start at the anchor or later, with their index."""
     start = F.unix_micros(F.col("window.start"))
     return (
         closed.filter(F.col("window.start") >= instant(F.lit(anchor)))
         .withColumn("window_index", F.call_function("div", start - anchor, F.lit(offset)))
-        .withColumns({"window_start": F.col("window.start"), "window_end": F.col("window.end")})
+        .withColumns({"window_start": F.col("window.start"), "window_end": instant(start + size)})
         .drop("window")
     )
 
@@ -52,7 +63,8 @@ def stream_packet_stats(packets: DataFrame, anchor: int, size: int, offset: int,
     """Packet size statistics of both roles per (window, address); a window comes out when it is closed."""
     source, length = F.col("role") == ROLES.index("Source"), F.col("frame_len").cast("long")
     sent, received = F.when(source, length), F.when(~source, length)
-    rows = _late_after(packets, delay).select("parsed_time", "frame_len", _sides())
+    inside = _within(_late_after(packets, delay), anchor, size, offset)
+    rows = inside.select("parsed_time", "frame_len", _sides())
     closed = rows.groupBy(_sliding(anchor, size, offset), "IP").agg(
         F.count_if(source).alias("Spc"), F.sum(sent).alias("Tss"),
         F.min(sent).alias("Smin"), F.max(sent).alias("Smax"),
@@ -60,15 +72,15 @@ def stream_packet_stats(packets: DataFrame, anchor: int, size: int, offset: int,
         F.count_if(~source).alias("Rpc"), F.sum(received).alias("Tsr"),
         F.avg(received).alias("Ravg"), F.stddev(received).alias("Rvar"),
     )
-    return _placed(closed, anchor, offset)
+    return _placed(closed, anchor, size, offset)
 
 
 def stream_edges(packets: DataFrame, anchor: int, size: int, offset: int, delay: str) -> DataFrame:
     """Packets per (window, sender, receiver) of closed windows."""
-    closed = _late_after(packets, delay).groupBy(
+    closed = _within(_late_after(packets, delay), anchor, size, offset).groupBy(
         _sliding(anchor, size, offset), "Source", "Destination"
     ).agg(F.count("*").alias("count"))
-    return _placed(closed, anchor, offset)
+    return _placed(closed, anchor, size, offset)
 
 
 def stream_slot(grid: WindowGrid, slot: int = STREAM_SLOT) -> int:

@@ -111,3 +111,20 @@ def test_features_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     before = sorted(map(str, got.collect()))
     sink(spark.read.parquet(str(tmp_path / "sink" / "parts" / "version=0")).limit(0), 0)  # run again: nothing
     assert sorted(map(str, sink.features(spark).select(*near).collect())) == before
+
+
+def test_windows_with_gaps_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(2)
+    base, size, offset = 10_000 * SECOND, 3 * SECOND, 5 * SECOND
+    packets = [(f"h{rng.randrange(3)}", f"h{rng.randrange(3)}", base + rng.randrange(60 * SECOND), 50) for _ in range(300)]
+    folder = str(tmp_path / "in")
+    write_files(spark, folder, [packets, [("end", "end", base + 900 * SECOND, 1)]])
+    frame = st.stream_edges(stream_of(spark, folder), base, size, offset, "5 seconds")
+    got = {tuple(r) for r in drain(spark, frame, tmp_path, "gaps").select("window_index", "Source", "Destination", "count").collect()}
+    whole = spark.read.parquet(folder).where("Source <> 'end'")
+    want = stats.edges(whole, WindowGrid(base, size, offset, 12))
+    assert got == {tuple(r) for r in want.select("window_index", "Source", "Destination", "count").collect()}
+    frame = st.stream_packet_stats(stream_of(spark, folder), base, size, offset, "5 seconds")
+    rows = drain(spark, frame, tmp_path, "gapped").collect()
+    assert sum(r.Spc for r in rows) == sum(n for *_, n in got)
+    assert {(r.window_end - r.window_start).total_seconds() for r in rows} == {3.0}
