@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,55 +15,48 @@ from flowlens.llm.tokens import END, encoded, tokens
 SENTENCE_CUT, FREE_CUT = 1.0, 2.0
 #: About so many ids are packed at once.
 SEGMENT_IDS = 1 << 20
-#: Positions a multiple of the size after an end are tried for every so-many-th end, up to so many sizes.
-SPREAD, REACH = 4, 16
 
 
-def choose_cuts(n: int, documents: np.ndarray, sentences: np.ndarray, size: int) -> list[int]:
+def choose_cuts(n: int, documents: np.ndarray, sentences: np.ndarray, size: int, more: bool = False) -> list[int]:
     """The ends of the sequences of ``n`` ids in a row that cost least.
 
     ``documents`` and ``sentences`` are positions at which a document or a sentence ends. Cost
     is the padding of every sequence to ``size`` plus the penalty of every cut inside a
     document. With f(j) the least cost of the ids before j, f(j) = penalty(j) + size - j +
-    min(f(i) + i) over the i within ``size`` before j; the minimum slides with j, so a monotone
-    queue keeps it and each position enters and leaves once. Positions are the given ends and,
-    so that sequences can be filled, some that lie one to sixteen ``size`` after an end and every
-    ``size`` in stretches without ends.
+    min(f(i) + i) over the i within ``size`` before j. Every position is tried as a cut.
+    ``size`` positions are worked out together: of the i before them the minimum is one running
+    backwards; the i among themselves are looked at, too, where one of them may be less.
+
+    If ``more`` ids follow, the last end is the one of the last ``size`` positions before which
+    the ids cost least, and what lies behind it is left for later.
     """
     if n <= size:
         return [n] if n else []
-    near = max(1, size // 16)  # of sentences that end close together the first will do
-    sentences = sentences[np.unique(sentences // near, return_index=True)[1]]
-    penalty = dict.fromkeys(sentences.tolist(), SENTENCE_CUT)
-    penalty.update(dict.fromkeys(documents.tolist(), 0.0))
-    ends = np.unique(np.concatenate(([0, n], documents, sentences)).astype(np.int64))
-    ends = ends[(ends >= 0) & (ends <= n)]
-    full = (ends[::SPREAD, None] + size * np.arange(1, REACH + 1)).ravel()
-    places = np.unique(np.concatenate((ends, full[full < n])))
-    gaps = np.nonzero(np.diff(places) > size)[0]
-    filled = [np.arange(places[g] + size, places[g + 1], size) for g in gaps]
-    places = np.unique(np.concatenate([places, *filled])).tolist()
-    costs = [0.0]
-    came = [0]
-    queue = deque([(0.0, 0, 0)])  # f(i) + i, i, its number; rising
-    get = penalty.get
-    for number in range(1, len(places)):
-        j = places[number]
-        low = j - size
-        while queue[0][1] < low:
-            queue.popleft()
-        least, _, best = queue[0]
-        cost = get(j, FREE_CUT) + size - j + least
-        costs.append(cost)
-        came.append(best)
-        value = cost + j
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j, number))
-    cuts, at = [], len(places) - 1
+    price = np.full(n + 1, size + FREE_CUT)
+    price[sentences] = size + SENTENCE_CUT
+    price[documents] = size
+    value = np.zeros(n + 1)  # f(i) + i
+    least = value[:size]
+    for low in range(0, n, size):
+        if low:
+            least = np.minimum.accumulate(value[low : low - size : -1])[::-1]
+        high = min(low + size, n)
+        here, before = price[low + 1 : high + 1], least[: high - low]
+        mine = before + here
+        while mine.min() < before[-1]:  # a sequence that begins and ends here
+            inner = np.minimum.accumulate(mine[:-1])
+            again = here + np.concatenate((before[:1], np.minimum(before[1:], inner)))
+            if np.array_equal(again, mine):
+                break
+            mine = again
+        value[low + 1 : high + 1] = mine
+    cuts, at = [], n
+    if more:
+        at -= int((value - np.arange(n + 1))[: n - size : -1].argmin())
     while at:
-        cuts.append(places[at])
-        at = came[at]
+        cuts.append(at)
+        window = value[max(0, at - size) : at]
+        at -= 1 + int(window[::-1].argmin())
     cuts.reverse()
     return cuts
 
@@ -91,16 +83,14 @@ def _packer(path: str, size: int, end: int, enders: tuple[str, ...], with_ids: b
         docs, pieces, before, held = [], [], [], 0
 
         def flush(last: bool):
-            """Pack what is held; ids behind the last full sequence wait unless ``last``."""
+            """Pack what is held; ids behind the last sequence wait unless ``last``."""
             nonlocal sequence, docs, pieces, before, held
             ids = np.frombuffer(b"".join(pieces), "<u4")
             sizes = np.array([len(p) // 4 for p in pieces], np.int64)
             ends = np.cumsum(sizes)
             starts = ends - sizes
-            cuts = choose_cuts(len(ids), ends, np.nonzero(np.isin(ids, closing))[0] + 1, size)
-            if not last and len(cuts) > 1:
-                cuts = cuts[:-1]
-            elif cuts:
+            cuts = choose_cuts(len(ids), ends, np.nonzero(np.isin(ids, closing, kind="table"))[0] + 1, size, not last)
+            if last and cuts:
                 rest = cuts[-1] - (cuts[-2] if len(cuts) > 1 else 0)
                 if size - rest > size // 64:
                     whole = cuts[-2] if len(cuts) > 1 else 0
@@ -144,7 +134,7 @@ def _packer(path: str, size: int, end: int, enders: tuple[str, ...], with_ids: b
             pieces.append(piece + tail)
             before.append(0)
             held += docs[-1][1]
-            if held >= SEGMENT_IDS:
+            if held >= max(SEGMENT_IDS, 2 * size):
                 yield flush(False)
         if docs:
             yield flush(True)
@@ -166,8 +156,8 @@ def pack(
     ids_crc32, doc_tokens, sequence_id and offset (its place in the sequence), and the ids
     themselves with ``with_ids``. A document's ids are those of its whole text and ``end``;
     each id lies in exactly one piece. Cuts are chosen by ``choose_cuts`` over about a million
-    ids at a time; what a chosen but unfinished sequence holds is packed again with the ids
-    that follow. The last sequence of a range of documents is split in powers of two, which
+    ids at a time, every position tried; the ids behind the last sequence of these, fewer than
+    ``size``, are packed with those that follow. The last sequence of a range of documents is split in powers of two, which
     need no padding, if it is far from full.
 
     A null text counts as empty and yields the end id alone. Rows of equal doc_id are packed

@@ -5,15 +5,18 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from flowlens.llm import packing
 from flowlens.llm.html_extract import Weights, best_region, extract_main_text, fit_weights, main_text
 from flowlens.llm.packing import choose_cuts, pack, split_tail
 from flowlens.llm.piece_sampling import Pieces, decode_pieces, sample_pieces, sample_texts
@@ -111,6 +114,42 @@ def test_cuts_cost_no_more_than_any_other_choice():
     assert sum(split_tail(1300)) == 1300 and all(x & (x - 1) == 0 for x in split_tail(1300))
 
 
+def test_cuts_are_the_cheapest_of_all():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, size = int(rng.integers(1, 160)), int(rng.integers(1, 24))
+        documents = np.unique(np.append(rng.integers(1, n + 1, int(rng.integers(0, 12))), n))
+        sentences = np.unique(rng.integers(1, n + 1, int(rng.integers(0, 20))))
+        paid = [0 if j in documents else 1 if j in sentences else 2 for j in range(n + 1)]
+        best = [0] + [math.inf] * n
+        for j in range(1, n + 1):
+            best[j] = min(best[i] + size - (j - i) for i in range(max(0, j - size), j)) + paid[j]
+        for more in (False, True):
+            cuts = choose_cuts(n, documents, sentences, size, more)
+            assert all(0 < b - a <= size for a, b in zip([0, *cuts], cuts))
+            assert sum(paid[b] + size - (b - a) for a, b in zip([0, *cuts], cuts)) == best[cuts[-1]]
+            assert n - size < cuts[-1] <= n if more else cuts[-1] == n
+            if more and n > size:
+                assert best[cuts[-1]] == min(best[n - size + 1 :])
+
+
+def test_packing_goes_on_from_one_segment_to_the_next(monkeypatch):
+    monkeypatch.setattr(packing, "SEGMENT_IDS", 3000)
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta.", "gamma"]) for _ in range(rng.choice([3, 40, 900]))) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+    out = pa.Table.from_batches(list(packing._packer(BYTES, 256, 1, (".",), True)(iter([batch])))).to_pylist()
+    encode, filled = whole(BYTES), Counter()
+    for doc, text in enumerate(texts):
+        assert [x for r in out if r["doc_id"] == doc for x in r["ids"]] == [*encode(text), 1]
+    for r in out:
+        assert r["offset"] == filled[r["sequence_id"]]
+        filled[r["sequence_id"]] += r["length"]
+    full = [n for n in filled.values() if n & (n - 1)]
+    assert max(filled.values()) == 256 and sum(256 - n for n in full) < 0.01 * sum(filled.values())
+
+
 def brute_repeats(rows, length):
     seen, out = {}, {}
     for doc, text in sorted(rows):
