@@ -92,5 +92,32 @@ def test_packing_holds_every_id_once(spark):
     assert cp.packing(spark, frame(spark, rows).limit(0), "").count() == 0
 
 
+def test_packing_cuts_where_it_costs_least(spark):
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.choice([5, 300, 900])).replace(" a", ". a")) for i in range(50)]
+    pieces = sorted(cp.packing(spark, frame(spark, rows), "").collect(), key=lambda p: (p.doc_id, p.start))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enders = [tokenizer.encode(x).ids for x in (".", "!", "?", ".\n", "!!")]
+    for part in {p.sequence_id >> 40 for p in pieces}:
+        docs = sorted({p.doc_id for p in pieces if p.sequence_id >> 40 == part})
+        paid, size = [0], 2048
+        for d in docs:
+            paid += [1 if [i] in enders else 2 for i in tokenizer.encode(rows[d][1], add_special_tokens=False).ids] + [0]
+        best = np.zeros(len(paid))
+        for j in range(1, len(paid)):
+            low = max(0, j - size)
+            best[j] = (best[low:j] + np.arange(low, j)).min() + size - j + paid[j]
+        filled = {}
+        for p in pieces:
+            if p.sequence_id >> 40 == part:
+                filled[p.sequence_id] = filled.get(p.sequence_id, 0) + p.length
+        ends = [0, *np.cumsum([filled[s] for s in sorted(filled)]).tolist()]
+        n = len(paid) - 1
+        assert ends[-1] == n
+        before = np.cumsum([0, *[paid[b] + size - (b - a) for a, b in zip(ends, ends[1:])]])
+        # the last sequence may have been split in powers of two
+        assert min(cost + size - (n - a) for a, cost in zip(ends, before) if 0 < n - a <= size) == best[n]
+
+
 def test_stages_of_the_contract():
     assert [name for name, _ in cp.STAGES] == ["toxicity", "quality", "near_duplicates", "repeats", "packing"]
