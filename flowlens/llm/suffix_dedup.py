@@ -25,9 +25,9 @@ from flowlens.functions.durable import Scratch
 from flowlens.llm.common import boundaries, complete_groups, leave_nothing_kept, mixed, prefix_hash, range_hash, text_batches
 
 GRAM = 16
-SLICE = 1 << 21
+#: Bytes of text and entries that a worker looks at together; each takes some 100 bytes of memory there.
+SLICE, ENTRIES = 1 << 19, 1 << 19
 BUCKET_BYTES = 1 << 23
-ENTRIES = 1 << 20
 #: Grams are compared by the upper 24 bits of their hash, then by place, the leftmost first.
 LOW = np.uint64((1 << 40) - 1)
 
@@ -144,6 +144,7 @@ def _entries(length: int, buckets: int):
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         gram, digest, doc, number = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         order, smallest = _classes(gram, digest, doc)
         gram, digest, doc, number = gram[order], digest[order], doc[order], number[order]
         known = doc != smallest

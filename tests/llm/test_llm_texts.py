@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowlens.llm import packing
+from flowlens.llm import packing, suffix_dedup
 from flowlens.llm.html_extract import Weights, best_region, extract_main_text, fit_weights, main_text
 from flowlens.llm.packing import choose_cuts, pack, split_tail
 from flowlens.llm.piece_sampling import Pieces, decode_pieces, sample_pieces, sample_texts
@@ -150,6 +151,20 @@ def test_packing_goes_on_from_one_segment_to_the_next(monkeypatch):
     assert max(filled.values()) == 256 and sum(256 - n for n in full) < 0.01 * sum(filled.values())
 
 
+def test_runs_of_many_texts_take_little_memory():
+    letters = np.random.default_rng(1).integers(97, 123, 14_000_000, np.uint8).tobytes()
+    texts = [letters[i : i + 2800].decode() for i in range(0, len(letters), 2800)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    suffix_dedup.powers(1)
+    tracemalloc.start()
+    try:
+        entries = sum(b.num_rows for b in suffix_dedup._entries(50, 12)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert entries and peak < 120e6
+
+
 def brute_repeats(rows, length):
     seen, out = {}, {}
     for doc, text in sorted(rows):
