@@ -155,7 +155,6 @@ def test_runs_of_many_texts_take_little_memory():
     letters = np.random.default_rng(1).integers(97, 123, 14_000_000, np.uint8).tobytes()
     texts = [letters[i : i + 2800].decode() for i in range(0, len(letters), 2800)]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
-    suffix_dedup.powers(1)
     tracemalloc.start()
     try:
         entries = sum(b.num_rows for b in suffix_dedup._entries(50, 12)(iter([batch])))
