@@ -23,13 +23,11 @@ FORMAT = "simple8b-1"
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """The number of bits of each id, one at least."""
-    out = np.ones(len(ids), np.int64)
-    for bit in range(1, 64):
-        more = ids >= np.uint64(1 << bit)
-        if not more.any():
-            break
-        out[more] = bit + 1
-    return out
+    high = ids >> np.uint64(32)
+    out = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    if high.any():
+        out = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], out)
+    return np.maximum(out, 1).astype(np.uint8)
 
 
 def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -44,17 +42,20 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
         return b"", b""
     need = _bits(ids)
     escaped = need > 60
-    choice = np.full(n, len(COUNTS) - 1, np.int64)
+    choice = np.full(n, len(COUNTS) - 1, np.uint8)
+    most, held = need, 1  # the bits of the widest of the next ``held`` ids
     for selector in range(len(COUNTS) - 2, -1, -1):
         width, count = WIDTHS[selector], COUNTS[selector]
         if count > n:
             break
-        bad = np.concatenate(([0], np.cumsum(need > width)))
-        fits = np.nonzero(bad[count:] == bad[:-count])[0]
-        if not len(fits):
+        for ahead in range(held, count):
+            most = np.maximum(most[:-1], need[ahead:])
+        held = count
+        fits = most <= width
+        if not fits.any():
             break
-        choice[fits] = selector
-    steps = np.array(COUNTS)[choice].tolist()
+        choice[: len(fits)][fits] = selector
+    steps = np.array(COUNTS, np.uint8)[choice].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)

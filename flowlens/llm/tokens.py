@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 import regex
@@ -20,29 +21,56 @@ ODD_SPACE = re.compile(r"[^\S \n]")
 LONGEST_KEPT = 48
 #: So many new words are shown to the library in one line.
 LINE = 512
-MOST_WORDS, MOST_RUNS = 1_200_000, 200_000
+MOST_WORDS, MOST_RUNS = 600_000, 100_000
 #: So many characters of texts are looked up together.
 TOGETHER = 1 << 20
 
 
+class _Answers(dict):
+    """Ids by word; a word not known yet gets an empty place, filled when the library has answered.
+
+    Words of the dictionary before this one move here when they come again.
+    """
+
+    def __init__(self, before: dict[str, bytes]) -> None:
+        self.before = before
+        self.places: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        ids = self.before.get(word)
+        if ids is None:
+            return self.places.setdefault(word, bytearray())
+        self[word] = ids
+        return ids
+
+    def renewed(self, most: int) -> _Answers:
+        """This one or, if it holds more than that, an empty one behind which only this one is kept."""
+        if len(self) <= most:
+            return self
+        self.before = {}
+        return _Answers(self)
+
+
 class WordTokens:
     """Ids of texts, equal to those of the tokenizer on the whole texts.
 
     Both tokenizers cut a text into runs that never meet in a merge: at blanks, and between
     letters, digits and signs. So the ids of a text are the ids of its runs, and each worker
-    asks the library for each run once. What is kept is bounded; when full, it starts anew.
+    asks the library for each run once. What is kept is bounded: of words, the last ``most`` new ones
+    and as many before them stay.
     Added tokens such as '<|endoftext|>' have one id each and part the text before all else.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MOST_WORDS) -> None:
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None
         self.cut = regex.compile(WORD_RUNS if self.lower else BYTE_RUNS).findall
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # words behind a blank, without it
+        self.plain = _Answers({})
+        self.spaced = _Answers({})  # words behind a blank, without it
         self.runs: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Tokens that end a word, or that begin one behind a blank.
@@ -68,16 +96,21 @@ class WordTokens:
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
         """The ids of texts without added tokens."""
-        parts = [self._word_parts(t) if self.lower else self._byte_parts(t) for t in texts]
-        for known, blank, which in ((self.plain, "", 0), (self.spaced, " ", 1)):
-            if len(known) > MOST_WORDS:
-                known.clear()
-            words: set[str] = set()
-            for part in parts:
-                words.update(*[p[which] for p in part])
-            self._learn(words.difference(known), blank, known)
+        self.plain, self.spaced = self.plain.renewed(self.most), self.spaced.renewed(self.most)
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        return [b"".join([b"".join((*map(plain, a), *map(spaced, b))) for a, b in part]) for part in parts]
+        found: list[list[bytes | bytearray]] = []
+        for text in texts:
+            ids: list[bytes | bytearray] = []
+            for a, b in self._word_parts(text) if self.lower else self._byte_parts(text):
+                ids += map(plain, a)
+                ids += map(spaced, b)
+            found.append(ids)
+        for known, blank in ((self.plain, ""), (self.spaced, " ")):
+            self._learn(known.places, blank, known)
+            for word, place in known.places.items():
+                place += known[word]
+            known.places.clear()
+        return [b"".join(ids) for ids in found]
 
     def _word_parts(self, text: str) -> list[tuple[list[str], list[str]]]:
         if not text.isascii():
@@ -126,7 +159,7 @@ class WordTokens:
             out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def _learn(self, words: set[str], blank: str, known: dict[str, bytes]) -> None:
+    def _learn(self, words: Iterable[str], blank: str, known: dict[str, bytes]) -> None:
         """Add words to ``known``: letters alone, letters and a sign behind them, or anything else."""
         stems, signed, others = set(), [], []
         for word in words:
@@ -145,7 +178,10 @@ class WordTokens:
             self.runs.clear()
         pieces = [(w, self.cut(blank + w)) for w in others]
         unknown = list({r for _, made in pieces for r in made}.difference(self.runs))
-        self.runs.update(zip(unknown, self._ask(unknown)))
+        letters = [r for r in unknown if r.startswith(blank) and r[len(blank) :].isalpha()]
+        self.runs.update(zip(letters, self._ask_words([r[len(blank) :] for r in letters], blank)))
+        signs = [r for r in unknown if r not in self.runs]
+        self.runs.update(zip(signs, self._ask(signs)))
         known.update([(w, b"".join([self.runs[r] for r in made])) for w, made in pieces])
         for run in unknown:
             if len(run) > LONGEST_KEPT:
@@ -166,6 +202,6 @@ def encoded(batches, encode_all):
         yield from zip(ids, encode_all(texts))
 
 
-def tokens(path: str) -> WordTokens:
+def tokens(path: str, most: int = MOST_WORDS) -> WordTokens:
     """The tokenizer of a file, loaded once per worker."""
-    return kept_in_worker(("tokens", path), lambda: WordTokens(path))
+    return kept_in_worker(("tokens", path, most), lambda: WordTokens(path, most))

@@ -1,5 +1,6 @@
 """Operators on whole texts against brute force, round trips and held-out accuracy."""
 
+import itertools
 import hashlib
 import math
 import random
@@ -151,6 +152,18 @@ def test_packing_goes_on_from_one_segment_to_the_next(monkeypatch):
     assert max(filled.values()) == 256 and sum(256 - n for n in full) < 0.01 * sum(filled.values())
 
 
+def test_words_that_come_again_stay_known():
+    coder, asked = WordTokens(WORDS, 50), []
+    learn = coder._learn
+    coder._learn = lambda words, *more: asked.extend(words) or learn(words, *more)
+    new, encode = (f"word{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(600)), whole(WORDS)
+    for _ in range(20):
+        text = " ".join(["often", "alpha", *itertools.islice(new, 30)])
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == encode(text)
+        assert len(coder.plain) + len(coder.plain.before) < 200
+    assert asked.count("often") == 1 and asked.count("wordaax") == 1
+
+
 def test_runs_of_many_texts_take_little_memory():
     letters = np.random.default_rng(1).integers(97, 123, 14_000_000, np.uint8).tobytes()
     texts = [letters[i : i + 2800].decode() for i in range(0, len(letters), 2800)]
