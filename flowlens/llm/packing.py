@@ -13,52 +13,91 @@ from flowlens.llm.tokens import END, encoded, tokens
 
 #: What a cut costs, in tokens of padding: inside a document at a sentence's end, and anywhere else.
 SENTENCE_CUT, FREE_CUT = 1.0, 2.0
-#: About so many ids are packed at once.
+#: After about so many more ids cuts are settled; which cuts does not depend on it.
 SEGMENT_IDS = 1 << 20
 
 
-def choose_cuts(n: int, documents: np.ndarray, sentences: np.ndarray, size: int, more: bool = False) -> list[int]:
-    """The ends of the sequences of ``n`` ids in a row that cost least.
+class Cuts:
+    """The ends of the sequences of ids in a row that cost least, found while ids come.
 
-    ``documents`` and ``sentences`` are positions at which a document or a sentence ends. Cost
-    is the padding of every sequence to ``size`` plus the penalty of every cut inside a
+    Cost is the padding of every sequence to ``size`` plus the penalty of every cut inside a
     document. With f(j) the least cost of the ids before j, f(j) = penalty(j) + size - j +
-    min(f(i) + i) over the i within ``size`` before j. Every position is tried as a cut.
-    ``size`` positions are worked out together: of the i before them the minimum is one running
-    backwards; the i among themselves are looked at, too, where one of them may be less.
+    min(f(i) + i) over the i within ``size`` before j. Every position is tried as a cut, and
+    a cut is settled only when every way to go on leads through it, so the cuts are the cheapest of all
+    ids, however they come. Positions count from the last settled cut.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.value = np.zeros(1)  # f(i) + i
+
+    def __len__(self) -> int:
+        """Ids since the last settled cut."""
+        return len(self.value) - 1
+
+    def add(self, n: int, documents: np.ndarray, sentences: np.ndarray) -> None:
+        """Go on by ``n`` ids; ``documents`` and ``sentences`` are positions among them at which one ends.
+
+        ``size`` positions are worked out together: of the i before them the minimum is one
+        running backwards; the i among themselves are looked at, too, where one of them may be less.
+        """
+        size, old = self.size, len(self)
+        price = np.full(n + 1, size + FREE_CUT)
+        price[sentences] = size + SENTENCE_CUT
+        price[documents] = size
+        value = self.value = np.concatenate((self.value, np.zeros(n)))
+        for low in range(old, old + n, size):
+            high = min(low + size, old + n)
+            near = np.minimum.accumulate(value[max(0, low - size + 1) : low + 1][::-1])[::-1]
+            least = np.concatenate((np.full(size - len(near), near[0]), near))
+            here, before = price[low + 1 - old : high + 1 - old], least[: high - low]
+            mine = before + here
+            while mine.min() < before[-1]:  # a sequence that begins and ends here
+                inner = np.minimum.accumulate(mine[:-1])
+                again = here + np.concatenate((before[:1], np.minimum(before[1:], inner)))
+                if np.array_equal(again, mine):
+                    break
+                mine = again
+            value[low + 1 : high + 1] = mine
+
+    def _last_before(self, at: int) -> int:
+        return at - 1 - int(self.value[max(0, at - self.size) : at][::-1].argmin())
+
+    def up_to(self, at: int) -> list[int]:
+        """The cuts if one is at ``at``, with it."""
+        cuts = []
+        while at:
+            cuts.append(at)
+            at = self._last_before(at)
+        return cuts[::-1]
+
+    def settled(self) -> list[int]:
+        """The cuts that are the same wherever the next one lies."""
+        begin, end = max(0, len(self) - self.size + 1), len(self)
+        ways = set(range(begin, end + 1))
+        order = iter(range(end, begin, -1))  # the largest while it is one of these
+        while len(ways) > 1:
+            at = next(order, None) or max(ways)
+            ways.remove(at)
+            ways.add(self._last_before(at))
+        return self.up_to(ways.pop())
+
+    def drop(self, at: int) -> None:
+        """Count from the cut at ``at`` on."""
+        self.value = self.value[at:] - self.value[at]
+
 
-    If ``more`` ids follow, the last end is the one of the last ``size`` positions before which
-    the ids cost least, and what lies behind it is left for later.
+def choose_cuts(n: int, documents: np.ndarray, sentences: np.ndarray, size: int, more: bool = False) -> list[int]:
+    """The ends of the sequences of ``n`` ids in a row that cost least, see ``Cuts``.
+
+    With ``more`` the last end is the one of the last ``size`` positions before which the ids cost least.
     """
     if n <= size:
         return [n] if n else []
-    price = np.full(n + 1, size + FREE_CUT)
-    price[sentences] = size + SENTENCE_CUT
-    price[documents] = size
-    value = np.zeros(n + 1)  # f(i) + i
-    least = value[:size]
-    for low in range(0, n, size):
-        if low:
-            least = np.minimum.accumulate(value[low : low - size : -1])[::-1]
-        high = min(low + size, n)
-        here, before = price[low + 1 : high + 1], least[: high - low]
-        mine = before + here
-        while mine.min() < before[-1]:  # a sequence that begins and ends here
-            inner = np.minimum.accumulate(mine[:-1])
-            again = here + np.concatenate((before[:1], np.minimum(before[1:], inner)))
-            if np.array_equal(again, mine):
-                break
-            mine = again
-        value[low + 1 : high + 1] = mine
-    cuts, at = [], n
-    if more:
-        at -= int((value - np.arange(n + 1))[: n - size : -1].argmin())
-    while at:
-        cuts.append(at)
-        window = value[max(0, at - size) : at]
-        at -= 1 + int(window[::-1].argmin())
-    cuts.reverse()
-    return cuts
+    found = Cuts(size)
+    found.add(n, documents, sentences)
+    at = n - int((found.value - np.arange(n + 1))[: n - size : -1].argmin()) if more else n
+    return found.up_to(at)
 
 
 def split_tail(length: int) -> list[int]:
@@ -80,22 +119,28 @@ def _packer(path: str, size: int, end: int, enders: tuple[str, ...], with_ids: b
         closing = np.frombuffer(b"".join(coder.encode(x) for x in enders), "<u4")
         tail = np.array([end], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
-        docs, pieces, before, held = [], [], [], 0
-
-        def flush(last: bool):
-            """Pack what is held; ids behind the last sequence wait unless ``last``."""
-            nonlocal sequence, docs, pieces, before, held
-            ids = np.frombuffer(b"".join(pieces), "<u4")
-            sizes = np.array([len(p) // 4 for p in pieces], np.int64)
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            cuts = choose_cuts(len(ids), ends, np.nonzero(np.isin(ids, closing, kind="table"))[0] + 1, size, not last)
-            if last and cuts:
+        docs, pieces, before, found = [], [], [], Cuts(size)
+
+        def look(new: int) -> None:
+            """Take the last ``new`` pieces into the search for cuts."""
+            ids = np.frombuffer(b"".join(pieces[len(pieces) - new :]), "<u4")
+            ends = np.cumsum([len(p) // 4 for p in pieces[len(pieces) - new :]], dtype=np.int64)
+            found.add(len(ids), ends, np.nonzero(np.isin(ids, closing, kind="table"))[0] + 1)
+
+        def flush(cuts: list[int], last: bool) -> pa.RecordBatch:
+            """The sequences up to the last cut; ids behind it wait."""
+            nonlocal sequence, docs, pieces, before
+            if last:
                 rest = cuts[-1] - (cuts[-2] if len(cuts) > 1 else 0)
                 if size - rest > size // 64:
                     whole = cuts[-2] if len(cuts) > 1 else 0
                     cuts = cuts[:-1] + (whole + np.cumsum(split_tail(rest))).tolist()
-            stop = cuts[-1] if cuts else 0
+            stop = cuts[-1]
+            found.drop(stop)
+            ids = np.frombuffer(b"".join(pieces), "<u4")
+            sizes = np.array([len(p) // 4 for p in pieces], np.int64)
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
             opens = np.array([0, *cuts[:-1]], np.int64)
             marks = np.unique(np.concatenate((starts[starts < stop], opens)))
             lengths = np.diff(np.concatenate((marks, [stop])))
@@ -126,18 +171,22 @@ def _packer(path: str, size: int, end: int, enders: tuple[str, ...], with_ids: b
                 if gone > 0:
                     kept[0], before[0] = kept[0][4 * gone :], before[0] + gone
             pieces = kept
-            held = sum(len(p) // 4 for p in pieces)
             return pa.RecordBatch.from_arrays(columns, names)
 
+        new = fresh = 0  # documents and ids that the search has not seen
         for doc, piece in encoded(batches, coder.encode_all):
             docs.append((doc, len(piece) // 4 + 1))
             pieces.append(piece + tail)
             before.append(0)
-            held += docs[-1][1]
-            if held >= max(SEGMENT_IDS, 2 * size):
-                yield flush(False)
+            new, fresh = new + 1, fresh + docs[-1][1]
+            if fresh >= SEGMENT_IDS:
+                look(new)
+                new = fresh = 0
+                if cuts := found.settled():
+                    yield flush(cuts, False)
+        look(new)
         if docs:
-            yield flush(True)
+            yield flush(found.up_to(len(found)), True)
 
     return run
 
@@ -155,10 +204,9 @@ def pack(
     Returns one row per piece: doc_id, start (ids of its document before it), length,
     ids_crc32, doc_tokens, sequence_id and offset (its place in the sequence), and the ids
     themselves with ``with_ids``. A document's ids are those of its whole text and ``end``;
-    each id lies in exactly one piece. Cuts are chosen by ``choose_cuts`` over about a million
-    ids at a time, every position tried; the ids behind the last sequence of these, fewer than
-    ``size``, are packed with those that follow. The last sequence of a range of documents is split in powers of two, which
-    need no padding, if it is far from full.
+    each id lies in exactly one piece. Cuts are those of ``Cuts``, the cheapest over a whole
+    range of documents (a partition); ids wait until the cuts before them are settled. The last
+    sequence of a range is split in powers of two, which need no padding, if it is far from full.
 
     A null text counts as empty and yields the end id alone. Rows of equal doc_id are packed
     one after another. An empty table gives an empty result; other columns are not looked at.

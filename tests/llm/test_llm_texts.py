@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 from flowlens.llm import packing, suffix_dedup
 from flowlens.llm.html_extract import Weights, best_region, extract_main_text, fit_weights, main_text
-from flowlens.llm.packing import choose_cuts, pack, split_tail
+from flowlens.llm.packing import Cuts, choose_cuts, pack, split_tail
 from flowlens.llm.piece_sampling import Pieces, decode_pieces, sample_pieces, sample_texts
 from flowlens.llm.quality import fit_quality, score_quality
 from flowlens.llm.suffix_dedup import remove_repeats
@@ -152,6 +152,52 @@ def test_packing_goes_on_from_one_segment_to_the_next(monkeypatch):
     assert max(filled.values()) == 256 and sum(256 - n for n in full) < 0.01 * sum(filled.values())
 
 
+def test_packing_is_the_cheapest_over_a_whole_range(monkeypatch):
+    monkeypatch.setattr(packing, "SEGMENT_IDS", 90)
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng, encode, size = random.Random(5), whole(BYTES), 16
+    for _ in range(12):
+        texts = [" ".join(rng.choice(["a", "a", "b."]) for _ in range(rng.randint(1, 25))) for _ in range(40)]
+        ids = [[*encode(t), 1] for t in texts]
+        flat = [x for one in ids for x in one]
+        n, ends = len(flat), set(itertools.accumulate(map(len, ids)))
+        paid = [0] + [0 if j in ends else 1 if flat[j - 1] in encode(".") else 2 for j in range(1, n + 1)]
+        best = [0] + [math.inf] * n
+        for j in range(1, n + 1):
+            best[j] = min(best[i] + size - (j - i) for i in range(max(0, j - size), j)) + paid[j]
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+        out = pa.Table.from_batches(list(packing._packer(BYTES, size, 1, (".",), True)(iter([batch])))).to_pylist()
+        assert [x for r in out for x in r["ids"]] == flat
+        sizes = Counter()
+        for r in out:
+            sizes[r["sequence_id"]] += r["length"]
+        cuts = list(itertools.accumulate(sizes[k] for k in sorted(sizes)))
+        got = [0] + [math.inf] * n  # the last sequence may be split in powers of two
+        for a, b in zip([0, *cuts], cuts):
+            got[b] = got[a] + paid[b] + size - (b - a)
+        assert min(got[c] + (size - (n - c) if c < n else 0) for c in [0, *cuts] if n - c <= size) == best[n]
+
+
+def test_settled_cuts_are_those_of_all_ids():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n, size = int(rng.integers(1, 300)), int(rng.integers(1, 24))
+        documents = np.unique(np.append(rng.integers(1, n + 1, int(rng.integers(0, 25))), n))
+        sentences = np.unique(rng.integers(1, n + 1, int(rng.integers(0, 40))))
+        found, cuts, at, seen = Cuts(size), [], 0, 0
+        while seen < n:
+            new = min(int(rng.integers(1, 60)), n - seen)
+            inside = [x[(x > seen) & (x <= seen + new)] - seen for x in (documents, sentences)]
+            found.add(new, *inside)
+            seen += new
+            some = found.settled() if seen < n else found.up_to(len(found))
+            cuts += [at + c for c in some]
+            if some:
+                found.drop(some[-1])
+                at += some[-1]
+        assert cuts == choose_cuts(n, documents, sentences, size)
+
+
 def test_words_that_come_again_stay_known():
     coder, asked = WordTokens(WORDS, 50), []
     learn = coder._learn
