@@ -15,6 +15,8 @@ from flowlens.llm.tokens import END, encoded, tokens
 SENTENCE_CUT, FREE_CUT = 1.0, 2.0
 #: About so many ids are packed at once.
 SEGMENT_IDS = 1 << 20
+#: The ids of so many new words are kept, and of as many before them: next to a heap grown by other stages.
+KEPT_WORDS = 200_000
 
 
 def choose_cuts(n: int, documents: np.ndarray, sentences: np.ndarray, size: int, more: bool = False) -> list[int]:
@@ -76,7 +78,7 @@ def _packer(path: str, size: int, end: int, enders: tuple[str, ...], with_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = tokens(path)
+        coder = tokens(path, KEPT_WORDS)
         closing = np.frombuffer(b"".join(coder.encode(x) for x in enders), "<u4")
         tail = np.array([end], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowlens.llm import packing, suffix_dedup
+from flowlens.llm import packing, suffix_dedup, tokens
 from flowlens.llm.html_extract import Weights, best_region, extract_main_text, fit_weights, main_text
 from flowlens.llm.packing import choose_cuts, pack, split_tail
 from flowlens.llm.piece_sampling import Pieces, decode_pieces, sample_pieces, sample_texts
@@ -164,6 +164,19 @@ def test_words_that_come_again_stay_known():
     assert asked.count("often") == 1 and asked.count("wordaax") == 1
 
 
+def test_packing_keeps_few_words(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50)
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(tokens, "TOGETHER", 100)
+    texts = [" ".join(f"new{chr(97 + i)}{chr(97 + j)}" for j in range(26)) for i in range(26)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(26)), "text": texts})
+    out = pa.Table.from_batches(list(packing._packer(BYTES, 64, 1, (".",), True)(iter([batch])))).to_pylist()
+    encode = whole(BYTES)
+    assert [x for r in out for x in r["ids"]] == [x for t in texts for x in [*encode(t), 1]]
+    spaced = tokens.tokens(BYTES, 50).spaced
+    assert 0 < len(spaced) + len(spaced.before) < 200
+
+
 def test_runs_of_many_texts_take_little_memory():
     letters = np.random.default_rng(1).integers(97, 123, 14_000_000, np.uint8).tobytes()
     texts = [letters[i : i + 2800].decode() for i in range(0, len(letters), 2800)]
