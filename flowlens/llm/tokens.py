@@ -6,8 +6,13 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterable
+from itertools import repeat
+from operator import add
+from string import punctuation
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from flowlens.llm.common import kept_in_worker
@@ -16,8 +21,11 @@ END = 1
 #: The ways in which the two tokenizers cut text before merging (see their files).
 WORD_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 BYTE_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Any white space besides the blank and the line feed.
-ODD_SPACE = re.compile(r"[^\S \n]")
+#: White space besides single blanks and line feeds between words (Arrow's regular expressions know ASCII in \s only).
+ODD_SPACE = (
+    r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 LONGEST_KEPT = 48
 #: So many new words are shown to the library in one line.
 LINE = 512
@@ -70,7 +78,7 @@ class WordTokens:
         self.lower = self.tokenizer.normalizer is not None
         self.cut = regex.compile(WORD_RUNS if self.lower else BYTE_RUNS).findall
         self.plain = _Answers({})
-        self.spaced = _Answers({})  # words behind a blank, without it
+        self.spaced = _Answers({})  # words behind a blank, without it, or behind a line feed, with it
         self.runs: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Tokens that end a word, or that begin one behind a blank.
@@ -78,6 +86,7 @@ class WordTokens:
         for name, number in names.items():
             self.bounds[number] = name.endswith("</w>") if self.lower else name.startswith("Ġ")
         self.signs = dict(zip(".,", self._ask([".", ","])))
+        self.feed = self._ask(["\n"])[0]
         added = {t.content: number for number, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = {a: np.array([added[a]], "<u4").tobytes() for a in sorted(added, key=len, reverse=True)}
         self.at_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
@@ -97,41 +106,65 @@ class WordTokens:
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
         """The ids of texts without added tokens."""
         self.plain, self.spaced = self.plain.renewed(self.most), self.spaced.renewed(self.most)
-        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        found: list[list[bytes | bytearray]] = []
-        for text in texts:
-            ids: list[bytes | bytearray] = []
-            for a, b in self._word_parts(text) if self.lower else self._byte_parts(text):
-                ids += map(plain, a)
-                ids += map(spaced, b)
-            found.append(ids)
-        for known, blank in ((self.plain, ""), (self.spaced, " ")):
-            self._learn(known.places, blank, known)
-            for word, place in known.places.items():
-                place += known[word]
-            known.places.clear()
+        if self.lower:
+            return self._encode_parts([self._word_parts(t) for t in texts])
+        rows = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(rows, ODD_SPACE).to_pylist()
+        cut = iter(self._encode_parts([self.cut(t) for t, o in zip(texts, odd) if o]))
+        lines = iter(self._encode_lines([t for t, o in zip(texts, odd) if not o]))
+        return [next(cut if o else lines) for o in odd]
+
+    def _encode_parts(self, parts: list[list[str]]) -> list[bytes]:
+        """The ids of texts cut into runs or words."""
+        found = [list(map(self.plain.__getitem__, p)) for p in parts]
+        self._fill()
         return [b"".join(ids) for ids in found]
 
-    def _word_parts(self, text: str) -> list[tuple[list[str], list[str]]]:
+    def _encode_lines(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts in which blanks and line feeds stand alone and between words.
+
+        Texts are cut at blanks, each line's first word with the line feed before it (a text's
+        first word gets one, taken off again). Of each different word the letters and the signs
+        behind them, a run of their own, are looked up.
+        """
+        if not texts:
+            return []
+        lines = pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string())
+        cut = pc.split_pattern(lines, " ")
+        words = cut.values.dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        bare = [b if b.isalpha() else w for w, b in zip(names, map(str.rstrip, names, repeat(punctuation)))]
+        found = list(map(self.spaced.__getitem__, bare))
+        signs = list(map(self.plain.__getitem__, [w[len(b) :] for w, b in zip(names, bare)]))
+        self._fill()
+        ids = pa.array(list(map(add, found, signs)), pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[cut.offsets.to_numpy()].tolist()
+        raw, skip = memoryview(ids.buffers()[2] or b""), len(self.feed)
+        return [bytes(raw[a + skip : b]) for a, b in zip(ends, ends[1:])]
+
+    def _fill(self) -> None:
+        """Give the words not known yet their ids."""
+        places = self.spaced.places
+        heads = [(w, self.plain[w[1:]]) for w in places if w[:1] == "\n"]  # words that begin a line
+        self._learn_places(self.plain, "")
+        for word, ids in heads:
+            places.pop(word).extend(self.feed + ids)
+            self.spaced[word] = self.feed + ids
+        self._learn_places(self.spaced, " ")
+
+    def _learn_places(self, known: _Answers, blank: str) -> None:
+        self._learn(known.places, blank, known)
+        for word, place in known.places.items():
+            place += known[word]
+        known.places.clear()
+
+    def _word_parts(self, text: str) -> list[str]:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
         # a whole text's lower case of this letter depends on what follows, the tokenizer's does not
         text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
-        return [(text.replace("\n", " ").split(" "), [])]
-
-    def _byte_parts(self, text: str) -> list[tuple[list[str], list[str]]]:
-        if (
-            "  " in text or " \n" in text or "\n " in text or "\n\n" in text
-            or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or ODD_SPACE.search(text)
-        ):
-            return [(self.cut(text), [])]
-        out, head = [], []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(([*head, first], rest))
-            head = ["\n"]
-        return out
+        return text.replace("\n", " ").split(" ")
 
     def _ask(self, runs: list[str]) -> list[bytes]:
         """The library's ids of runs."""
@@ -159,7 +192,7 @@ class WordTokens:
             out += [raw[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def _learn(self, words: Iterable[str], blank: str, known: dict[str, bytes]) -> None:
+    def _learn(self, words: Iterable[str], blank: str, known: _Answers) -> None:
         """Add words to ``known``: letters alone, letters and a sign behind them, or anything else."""
         stems, signed, others = set(), [], []
         for word in words:
@@ -167,7 +200,7 @@ class WordTokens:
                 stems.add(word)
             elif word[-1:] in self.signs and word[:-1].isalpha():
                 signed.append(word)
-                if word[:-1] not in known:
+                if word[:-1] not in known and word[:-1] not in known.before:
                     stems.add(word[:-1])
             else:
                 others.append(word)
