@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -319,7 +319,7 @@ class Scorer:
         return np.where(wordless, self.network.prior, found)
 
 
-def _statistics(docs: list[set[str]], toxic: np.ndarray) -> np.ndarray:
+def _statistics(docs: Iterable[set[str]], toxic: np.ndarray) -> np.ndarray:
     """Shrunk log-odds of each hashed word and character n-gram by how many documents of each class hold it."""
     counts = np.zeros((2, STAT_BUCKETS), np.float32)
     for words, label in zip(docs, toxic):
@@ -347,17 +347,17 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, epoc
     """Fit the network on labelled texts; ``prior`` is the share of label 1 among all labelled rows.
 
     A text counts through its strongest window. Four fifths of the texts give statistics and
-    weights, the others the calibration.
+    weights, the others the calibration. Texts are split one at a time; of their words only
+    those of the windows to learn from stay, each different one once.
     """
     rng = np.random.default_rng(seed)
-    split = [[w for part in words_of(t) for w in part] for t in texts]
     fit = rng.random(len(texts)) < 0.8
     numbers = np.nonzero(fit)[0]
-    stats = _statistics([set(split[i]) for i in numbers], toxic[numbers])
+    stats = _statistics(({w for part in words_of(texts[i]) for w in part} for i in numbers), toxic[numbers])
     network = Network(stats, fresh_weights(seed))
-    chosen, spots = [], []
+    chosen, spots, held_words = [], [], {}
     for i in numbers:  # windows to learn from: the strongest by the inputs, and some others
-        words = split[i]
+        words = [w for part in words_of(texts[i]) for w in part]
         names = list(dict.fromkeys(words))
         place = {w: n for n, w in enumerate(names)}
         ids = np.array([place[w] for w in words], np.int64)
@@ -366,7 +366,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, seed: int = 5, epoc
         rows, inside = _windows(ids, starts)
         best = np.argsort(-np.where(inside, strength[rows], -9).max(axis=1), kind="stable")[:3]
         for s in np.unique(np.concatenate((best, rng.integers(0, len(starts), 2)))):
-            chosen.append(words[starts[s] : starts[s] + WINDOW])
+            chosen.append([held_words.setdefault(w, w) for w in words[starts[s] : starts[s] + WINDOW]])
             spots.append(i)
     spots = np.array(spots)
     by_text = {i: np.nonzero(spots == i)[0] for i in numbers} if len(numbers) < 200 else _grouped(spots)

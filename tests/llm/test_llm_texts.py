@@ -26,7 +26,7 @@ from flowlens.llm.quality import fit_quality, score_quality
 from flowlens.llm.suffix_dedup import remove_repeats
 from flowlens.llm.token_binary import decode_ids, encode_ids, read_token_file, write_token_file
 from flowlens.llm.tokens import WordTokens
-from flowlens.llm.toxicity import fit_toxicity, fresh_weights, gradients, score_toxicity, Network, STAT_BUCKETS
+from flowlens.llm.toxicity import fit_toxicity, fresh_weights, gradients, score_toxicity, train, Network, STAT_BUCKETS
 
 WORDS, BYTES, MODEL = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 ODD = [None, "", " ", "\n", "a  b", " lead", "trail ", "x\n\ny", "tab\tnbsp end", "İstanbul ΣΑΣ é", "it'S don't 12345 ###!!", "<|endoftext|>", "日本語 😀", "x" * 3000, "é" * 60]
@@ -346,3 +346,29 @@ def test_quality_on_held_out_rows(spark):
     held = [r for i, r in rows.items() if i < 500 and r.held_out]
     assert len(rows) == 502 and np.mean([r.predicted == (r.doc_id % 5 != 1) for r in held]) > 0.95
     assert score_quality(docs.limit(0), fit_quality(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_learning_quality_takes_little_of_the_drivers_memory(spark):
+    docs = [(i, ("poor!! " if i % 2 else "good ") * 9, "en", "s", 50) for i in range(4000)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("quality"))
+    tracemalloc.start()
+    try:
+        model = fit_quality(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.text.weights.any() and peak < 50e6
+
+
+def test_learning_toxicity_takes_little_of_the_drivers_memory():
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join([*(words[i] for i in rng.integers(0, 5000, 5000)), *["idiot"] * (n % 2)]) for n in range(200)]
+    tracemalloc.start()
+    try:
+        network = train(texts, np.arange(200) % 2, 0.5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert network.stats.any() and peak < 60e6
