@@ -524,7 +524,7 @@ def two_means_fixed_steps(spark, sf):
 @query("two_means_starts")
 def two_means_starts(spark, sf):
     """Clusters from several starts, each run until no centroid moves."""
-    rows = _concepts(spark, sf).persist()
+    rows = _concepts(spark, sf)
     found = two_means(rows, v.EMBEDDING_COLUMNS, tolerance=0.0, starts=3)
     return found.groupBy("batch_id", "concept", "cluster").agg(F.count("*").alias("n"))
 

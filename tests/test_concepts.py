@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,55 @@ def test_several_starts_find_the_least_inertia_both_ways(spark):
     assert sorted(map(str, ways[0])) == sorted(map(str, ways[1]))
     assert inertia(ways[0]) <= inertia(one) + 1e-6
     assert sum(r.cluster is None for r in ways[0]) == 6 and len(ways[0]) == len(rows)
+
+
+def lloyd(x, a, b):
+    """Plain steps until no centroid moves: the sides, the inertia and how many steps it took."""
+    for steps in range(1, 10_000):
+        near_b = ((x - b) ** 2).sum(axis=1) < ((x - a) ** 2).sum(axis=1)
+        new = x[~near_b].mean(axis=0), x[near_b].mean(axis=0)
+        moved = not (np.array_equal(new[0], a) and np.array_equal(new[1], b))
+        a, b = new
+        if not moved:
+            break
+    side = near_b if tuple(a) < tuple(b) else ~near_b
+    return side.astype(int), np.minimum(((x - a) ** 2).sum(axis=1), ((x - b) ** 2).sum(axis=1)).sum(), steps
+
+
+def test_large_batches_take_fewer_jobs_than_steps(spark):
+    x = np.random.default_rng(4).normal(size=(6000, 3))  # no clusters, so the border turns slowly
+    x[:, 0] *= 1.02
+    far = lambda point: x[((x - point) ** 2).sum(axis=1).argmax()]
+    starts = [(far(x.mean(axis=0)), far(far(x.mean(axis=0))))]
+    starts += [(x[x[:, c].argmin()], x[x[:, c].argmax()]) for c in np.argsort(-x.var(axis=0))[:2]]
+    ends = [lloyd(x, *pair) for pair in starts]
+    want = min(ends, key=lambda end: end[1])[0]
+    rows = spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(x)], "batch_id long, i long, x double, y double, z double")
+    context = spark.sparkContext
+    context.setJobGroup("steps", "steps")
+    found = two_means(rows.repartition(3), ["x", "y", "z"], tolerance=0.0, starts=3, task_rows=1)
+    jobs = len(context.statusTracker().getJobIdsForGroup("steps"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.cluster for r in found.orderBy("i").collect()] == want.tolist()
+    assert 2 * jobs < sum(end[2] for end in ends)
+
+
+def test_both_ways_agree_on_whole_numbers_ties_and_missing_features(spark):
+    rng = random.Random(9)
+    rows = [(b, i, rng.randrange(-3, 4), 0.1 * rng.randrange(10)) for b in (0, 1, 2) for i in range(50)]
+    rows += [(None, 60, None, 1.0), (1, 61, 2, float("nan")), (2, 62, 1, None), (3, 63, None, None), (4, 64, 5, 5.0)]
+    rows += [(5, 70 + i, 1, 0.1) for i in range(30)]  # all the same
+    table = spark.createDataFrame(rows, "batch_id long, i long, x int, y double")
+    ways = [two_means(table.repartition(3), ["x", "y"], tolerance=0.0, starts=3, task_rows=n) for n in (1, 1000)]
+    assert ways[0].schema.names == ways[1].schema.names
+    one, other = (sorted(map(str, way.collect())) for way in ways)
+    assert len(one) == len(rows) and one == other
+
+
+def test_both_ways_agree_on_many_batches_and_few_steps(spark):
+    rng = random.Random(3)
+    rows = [(b, rng.gauss(b % 3, 1), rng.gauss(0, 2)) for b in range(70) for _ in range(12)]
+    table = spark.createDataFrame(rows, "batch_id long, x double, y double").repartition(4)
+    for options in ({}, {"steps": 2, "tolerance": -1.0}, {"steps": 0}):
+        one, other = (sorted(map(tuple, two_means(table, ["x", "y"], task_rows=n, **options).collect())) for n in (1, 1000))
+        assert one == other
